@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, quality, simhash, substrings, tokens
+from plumbline.llm import bpe, quality, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_spans(_table(spark, sf_dir, "documents"))
 
 
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_files": op3_token_files,
         "op4_line_dedup": op4_line_dedup,
+        "op5_crf_toxicity": op5_crf_toxicity,
         "op7_bpe_chunks": op7_bpe_chunks,
         "op8_decision_list": op8_decision_list,
         "op10_simhash": op10_simhash,
