@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, quality, simhash, substrings, tokens, toxicity
+from plumbline.llm import bpe, langid, quality, simhash, substrings, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.documents_as_rows(_table(spark, sf_dir, "documents"))
+    return langid.identify(rows, langid.fit(rows))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_fusion": op2_language_fusion,
         "op3_token_files": op3_token_files,
         "op4_line_dedup": op4_line_dedup,
         "op5_crf_toxicity": op5_crf_toxicity,
