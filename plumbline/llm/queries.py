@@ -5,14 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, langid, quality, simhash, substrings, tokens, toxicity
+from plumbline.llm import bpe, fixity, langid, quality, simhash, substrings, tokens, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC segments against a replica with planted damage.
+
+    Of every 97 records one has its first character replaced, of every 193 one is missing,
+    and of every 41 segments one ends halfway.
+    """
+    gone = (F.pmod("page_id", F.lit(193)) == 7) | ((F.pmod(F.floor(F.col("page_id") / fixity.SEGMENT_PAGES), F.lit(41)) == 3) & (F.pmod("page_id", F.lit(fixity.SEGMENT_PAGES)) >= 512))
+    rotten = F.pmod("page_id", F.lit(97)) == 13
+    body = F.coalesce("html", F.lit(""))
+    replica = F.when(gone, None).when(rotten, F.concat(F.lit("#"), F.expr("substr(html, 2)"))).otherwise(body)
+    packed = fixity.pack(fixity.page_records(_table(spark, sf_dir, "pages"), replica))
+    ours = packed.select("segment", "offset", "length", "record_id", "digest")
+    theirs = packed.filter("found is not null").select("segment", "offset", "length", "record_id", F.col("found").alias("digest"))
+    return fixity.audit(ours, theirs).withColumnRenamed("record_id", "page_id")
+
+
+OP1_SQL = """
+WITH bodies AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         CASE WHEN page_id % 193 = 7 OR ((page_id // 1024) % 41 = 3 AND page_id % 1024 >= 512) THEN NULL
+              WHEN page_id % 97 = 13 THEN '#' || substr(html, 2) ELSE coalesce(html, '') END AS other
+  FROM pages),
+records AS (
+  SELECT page_id, 'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: ' AS head, url, html, other FROM bodies),
+texts AS (
+  SELECT page_id,
+         replace(head || url || '\r\nContent-Length: ' || strlen(html) || '\r\n\r\n', '\r\n', chr(13) || chr(10)) || html || chr(13) || chr(10) || chr(13) || chr(10) AS own,
+         replace(head || url || '\r\nContent-Length: ' || strlen(other) || '\r\n\r\n', '\r\n', chr(13) || chr(10)) || other || chr(13) || chr(10) || chr(13) || chr(10) AS found
+  FROM records),
+digests AS (
+  SELECT page_id // 1024 AS segment, page_id, CAST(strlen(own) AS BIGINT) AS length, sha256(own) AS expected, sha256(found) AS found FROM texts),
+packed AS (
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY segment ORDER BY page_id, expected ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM digests)
+SELECT segment, "offset", length, page_id, CASE WHEN found IS NULL THEN 'missing' ELSE 'changed' END AS status, expected, found
+FROM packed WHERE found IS DISTINCT FROM expected
+"""
+
+
 def op2_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = langid.documents_as_rows(_table(spark, sf_dir, "documents"))
     return langid.identify(rows, langid.fit(rows))
@@ -31,6 +70,50 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_url_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, with fetch days over 2024, against a list of entries on the hosts' own domains.
+
+    The pages have neither fetch days nor a list, so both are derived: the day from the
+    page_id, and, for a part of the hosts and of the domains above them, entries that add,
+    remove and add again on days that depend on the name.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7919, F.lit(366)).cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", day.alias("fetched"))
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    domains = hosts.select(F.explode(F.array("host", F.regexp_replace("host", r"^(www|m|blog)\.", ""))).alias("domain")).distinct()
+    n = F.length("domain") * 13 + F.ascii("domain") * 7 + F.ascii(F.substring("domain", 5, 1))
+    start = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(n * 5, F.lit(250)).cast("int"))
+    listed = domains.withColumn("n", n).filter("n % 3 <> 0").select("domain", "n", start.alias("start"))
+    events = listed.select("domain", F.explode(F.expr(
+        "filter(array(struct('add' as action, start as day), struct('add' as action, date_add(start, 9) as day), struct('remove' as action, date_add(start, 40) as day),"
+        " struct(if(n % 2 = 0, 'add', null) as action, date_add(start, 90) as day)), e -> e.action is not null)"
+    )).alias("e")).select("domain", "e.action", "e.day")
+    out = urlfilter.apply(captures, events).withColumnRenamed("capture_id", "page_id")
+    return out.withColumn("fetched", F.col("fetched").cast("string")).withColumn("listed_since", F.col("listed_since").cast("string"))
+
+
+OP6_SQL = r"""
+WITH captures AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '') AS host,
+         DATE '2024-01-01' + CAST((page_id * 7919) % 366 AS INTEGER) AS fetched FROM pages),
+domains AS (
+  SELECT host AS domain FROM captures WHERE host IS NOT NULL
+  UNION SELECT regexp_replace(host, '^(www|m|blog)\.', '') FROM captures WHERE host IS NOT NULL),
+numbered AS (SELECT domain, length(domain) * 13 + ascii(domain) * 7 + ascii(substr(domain, 5, 1)) AS n FROM domains),
+starts AS (SELECT domain, n, DATE '2024-01-01' + CAST((n * 5) % 250 AS INTEGER) AS start FROM numbered WHERE n % 3 <> 0),
+valid AS (
+  SELECT domain, start AS valid_from, start + 40 AS valid_to FROM starts
+  UNION ALL SELECT domain, start + 90, NULL FROM starts WHERE n % 2 = 0),
+active AS (
+  SELECT c.page_id, v.domain, v.valid_from, row_number() OVER (PARTITION BY c.page_id ORDER BY length(v.domain) DESC, v.domain DESC) AS nth,
+         count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM captures c JOIN valid v ON (c.host = v.domain OR ends_with(c.host, '.' || v.domain)) AND c.fetched >= v.valid_from AND (v.valid_to IS NULL OR c.fetched < v.valid_to))
+SELECT c.page_id, c.host, CAST(c.fetched AS VARCHAR) AS fetched, a.n IS NOT NULL AS blocked, coalesce(a.n, 0) AS n_entries, a.domain AS rule, CAST(a.valid_from AS VARCHAR) AS listed_since
+FROM captures c LEFT JOIN active a ON a.page_id = c.page_id AND a.nth = 1
+"""
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
@@ -45,10 +128,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_fixity": op1_merkle_fixity,
         "op2_language_fusion": op2_language_fusion,
         "op3_token_files": op3_token_files,
         "op4_line_dedup": op4_line_dedup,
         "op5_crf_toxicity": op5_crf_toxicity,
+        "op6_url_list_join": op6_url_list_join,
         "op7_bpe_chunks": op7_bpe_chunks,
         "op8_decision_list": op8_decision_list,
         "op10_simhash": op10_simhash,
@@ -56,4 +141,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_merkle_fixity": OP1_SQL, "op6_url_list_join": OP6_SQL}
