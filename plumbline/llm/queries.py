@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, fixity, langid, quality, simhash, substrings, tokens, toxicity, urlfilter
+from plumbline.llm import bpe, decontaminate, fixity, langid, quality, simhash, substrings, tokens, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,10 @@ def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -136,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_list_join": op6_url_list_join,
         "op7_bpe_chunks": op7_bpe_chunks,
         "op8_decision_list": op8_decision_list,
+        "op9_latent_leaks": op9_latent_leaks,
         "op10_simhash": op10_simhash,
     }
 
