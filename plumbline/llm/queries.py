@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import bpe, decontaminate, fixity, langid, quality, simhash, substrings, tokens, toxicity, urlfilter
 
 
@@ -142,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decision_list": op8_decision_list,
         "op9_latent_leaks": op9_latent_leaks,
         "op10_simhash": op10_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
