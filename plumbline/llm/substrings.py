@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.names import fresh
+from plumbline.shared import durable
 
 #: Words of a run, and of whole lines, from which on it is removed.
 RUN_WORDS, LINE_WORDS = 15, 5
@@ -133,7 +134,8 @@ def repeated_spans(docs: DataFrame, least_run: int = RUN_WORDS, least_line: int
     schema = "h long, k int, doc_id long, mark int, local boolean, meta long, place long"
     texts = docs.select(F.col("doc_id").cast("long"), _mark(docs).alias("mark"), "text").filter("doc_id is not null and text is not null")
     found = texts.mapInArrow(_unit_rows, schema)
-    firsts = found.groupBy("h", "k").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written, so that both sides of the join come from exchanges of their own and a hot digest's partition can be split
+    firsts = durable(found.groupBy("h", "k").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = found.join(firsts, ["h", "k"]).filter("local or doc_id > first_doc_id")
     runs = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("meta", "place", "first_doc_id")).alias("found"))
     return runs.mapInArrow(_runs(least_run, least_line), f"doc_id long, mark int, spans {_SPANS}").filter(F.size("spans") > 0)
