@@ -1 +1 @@
-
+"""Profiles of streams: mergeable state, written batch by batch."""
