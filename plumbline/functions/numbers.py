@@ -44,14 +44,25 @@ def is_integral(x: Column) -> Column:
     return F.abs(x - F.rint(x)) < 1e-10
 
 
-def is_heaped(x: Column) -> Column:
+def ten_billionths(x: Column) -> Column:
+    """A value below 900,000 in whole ten-billionths; else null."""
+    return F.when(F.abs(x) < 900_000, F.rint(F.abs(x) * 1e10).cast("long"))
+
+
+def is_heaped(x: Column, tiny: Column) -> Column:
     """Whether the last significant digit of a value, rounded to ten decimals, is 0 or 5; zero is.
 
-    A value too large for that many decimals has trailing zeros, as doubles print.
+    ``tiny`` is ``ten_billionths(x)``, whose last digit that isn't zero is looked for down
+    to the units; where it is null the decimal text is looked at, and a value too large
+    for that has trailing zeros, as doubles print.
     """
+    found = F.when(tiny % 10 != 0, tiny % 10 == 5)
+    for k in range(1, 10):
+        found = found.when(tiny % 10 ** (k + 1) != 0, tiny % 10 ** (k + 1) == 5 * 10**k)
+    found = found.otherwise((tiny % 10**11).isin(0, 5 * 10**10))
     text = F.coalesce(F.round(F.abs(x), 10).try_cast("decimal(38,10)").cast("string"), F.lit("0"))
     digits = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.", "")
-    return F.when(x.isNotNull(), F.right(digits, F.lit(1)).isin("0", "5"))
+    return F.when(tiny.isNotNull(), found).when(x.isNotNull(), F.right(digits, F.lit(1)).isin("0", "5"))
 
 
 def rounded(x: Column, digits: int = 9) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.operators import quantiles as Q
+from plumbline.plans.spread import kept, spread
 
 #: Fences, the normal quantile of a 95 % interval, MAD's scale and limit, bins of a histogram, kept extremes.
 IQR_FENCE, Z95, MAD_SCALE, MAD_LIMIT, BINS, EXTREMES = 1.5, 1.96, 0.6745, 3.5, 25, 5
@@ -22,16 +23,15 @@ GRANULARITY_VALUES = 20_000
 Named = dict[str, Column]
 
 
-def scan_aggregates(x: Column) -> Named:
-    """Aggregates of one scan over a double column ``x``."""
-    v = N.finite(x)
+def scan_aggregates(v: Column, missing: Column, infinite: Column, heaped: Column) -> Named:
+    """Aggregates of one scan over a column: its finite values, and whether each is missing, infinite or heaped."""
     n = F.count(v)
     deep = n > 2
     m2 = F.coalesce(F.var_pop(v), F.lit(0.0))
     return {
         "count": n,
-        "missing": F.count_if(N.is_missing(x)),
-        "inf": F.count_if(N.is_infinite(x)),
+        "missing": F.count_if(missing),
+        "inf": F.count_if(infinite),
         "zeros": F.count_if(v == 0),
         "negatives": F.count_if(v < 0),
         "int_like": F.coalesce(F.bool_and(N.is_integral(v)), F.lit(True)),
@@ -44,7 +44,7 @@ def scan_aggregates(x: Column) -> Named:
         "min_positive": F.min(F.when(v > 0, v)),
         "min": F.min(v),
         "max": F.max(v),
-        "heap_pct": F.try_divide(100.0 * F.count_if(N.is_heaped(v)), n),
+        "heap_pct": F.try_divide(100.0 * F.count_if(heaped), n),
         "mem_bytes": 8 * F.count(F.lit(1)),
     }
 
@@ -66,8 +66,14 @@ def scan(df: DataFrame, columns: Named) -> DataFrame:
     """A row for each of ``columns`` (name: double expression) with the statistics of one scan; one pass whatever their number."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string")
-    wide = {name: scan_aggregates(x) for name, x in columns.items()}
-    flat = df.agg(*[a.alias(f"{i}_{k}") for i, aggregates in enumerate(wide.values()) for k, a in aggregates.items()])
+    raw = df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])
+    parts = []
+    for i in range(len(columns)):
+        x = F.col(f"x{i}")
+        parts += [N.finite(x).alias(f"v{i}"), N.is_missing(x).alias(f"m{i}"), N.is_infinite(x).alias(f"i{i}"), N.ten_billionths(N.finite(x)).alias(f"t{i}")]
+    inputs = spread(raw.select(*parts))
+    wide = {name: scan_aggregates(F.col(f"v{i}"), F.col(f"m{i}"), F.col(f"i{i}"), N.is_heaped(F.col(f"v{i}"), F.col(f"t{i}"))) for i, name in enumerate(columns)}
+    flat = inputs.agg(*[a.alias(f"{i}_{k}") for i, aggregates in enumerate(wide.values()) for k, a in aggregates.items()])
     keys = list(next(iter(wide.values())))
     rows = [F.struct(F.lit(name).alias("column_name"), *[F.col(f"{i}_{k}").alias(k) for k in keys]) for i, name in enumerate(wide)]
     long = flat.select(F.inline(F.array(*rows)))
@@ -85,15 +91,17 @@ def deviations(df: DataFrame, columns: Named, quartiles: dict[str, tuple[float |
     schema = "column_name string, mad double, outliers_iqr long, outliers_mod_zscore long"
     if not known:
         return spark.createDataFrame([], schema)
-    gaps = {name: F.abs(N.finite(columns[name]) - F.lit(q[1])) for name, q in known.items()}
-    mads = {name: v[0.5] for name, v in Q.quantiles(df, gaps, (0.5,)).items()}
-    counts = []
-    for i, (name, (q1, med, q3)) in enumerate(known.items()):
-        v, width = N.finite(columns[name]), IQR_FENCE * (q3 - q1)
-        counts.append(F.count_if((v < q1 - width) | (v > q3 + width)).alias(f"{i}_iqr"))
-        score = F.abs(MAD_SCALE * (v - med) / mads[name]) > MAD_LIMIT if mads[name] else F.lit(False)
-        counts.append(F.count_if(score).alias(f"{i}_mad"))
-    found = df.agg(*counts).first()
+    inputs = df.select(*[N.finite(columns[name]).alias(f"c{i}") for i, name in enumerate(known)])
+    with kept(inputs) as held:
+        gaps = {name: F.abs(F.col(f"c{i}") - F.lit(q[1])) for i, (name, q) in enumerate(known.items())}
+        mads = {name: v[0.5] for name, v in Q.quantiles(held, gaps, (0.5,)).items()}
+        counts = []
+        for i, (name, (q1, med, q3)) in enumerate(known.items()):
+            v, width = F.col(f"c{i}"), IQR_FENCE * (q3 - q1)
+            counts.append(F.count_if((v < q1 - width) | (v > q3 + width)).alias(f"{i}_iqr"))
+            score = F.abs(MAD_SCALE * (v - med) / mads[name]) > MAD_LIMIT if mads[name] else F.lit(False)
+            counts.append(F.count_if(score).alias(f"{i}_mad"))
+        found = held.agg(*counts).first()
     return spark.createDataFrame([(name, float(mads[name]), found[f"{i}_iqr"], found[f"{i}_mad"]) for i, name in enumerate(known)], schema)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
+from plumbline.plans.spread import kept
 
 #: Accuracy of the sketched brackets (one part in so many), and distinct values of a bracket that are read exactly.
 ACCURACY, READABLE = 2_000, 4_096
@@ -49,58 +50,69 @@ def _narrow(df: DataFrame, columns: dict[str, Column], open_: list[_Target], bel
             open_[i].lo, open_[i].hi = found[f"p{k}"][2 * j], found[f"p{k}"][2 * j + 1]
 
 
+def _levels(df: DataFrame, columns: dict[str, Column], targets: list[_Target]) -> DataFrame:
+    """(name, v, n) of the values in any target's bracket."""
+    parts = []
+    for name in dict.fromkeys(t.name for t in targets):
+        v, within = columns[name], F.lit(False)
+        for lo, hi in dict.fromkeys((t.lo, t.hi) for t in targets if t.name == name):
+            within = within | ((v >= lo) & (v <= hi))
+        parts.append(F.when(within, F.struct(F.lit(name).alias("name"), v.alias("v"))))
+    picked = df.select(F.explode(F.array(*parts)).alias("p")).filter("p is not null").select("p.name", "p.v")
+    return picked.groupBy("name", "v").agg(F.count("*").alias("n"))
+
+
 def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: dict[str, list[int]], span: dict[str, tuple[int, float, float]]) -> dict[tuple[str, int], float]:
     """The values of the given ranks (from 0) of finite columns; span has each column's count, minimum and maximum."""
     targets = [_Target(name, r, span[name][1], span[name][2]) for name, wanted in ranks.items() for r in sorted(set(wanted))]
     _narrow(df, columns, targets, dict.fromkeys(range(len(targets)), 0), {i: span[t.name][0] for i, t in enumerate(targets)}) if targets else None
     open_ = targets
     while open_:
-        counts, picks = [], []
+        counts = []
         for i, t in enumerate(open_):
             v = columns[t.name]
             counts += [F.count_if(v < t.lo).alias(f"b{i}"), F.count_if((v >= t.lo) & (v <= t.hi)).alias(f"i{i}")]
-            picks.append(F.when((v >= t.lo) & (v <= t.hi), F.struct(F.lit(i).alias("i"), v.alias("v"))))
         found = df.agg(*counts).first()
         below, inside = {i: found[f"b{i}"] for i in range(len(open_))}, {i: found[f"i{i}"] for i in range(len(open_))}
-        wide = []
+        left = []
         for i, t in enumerate(open_):
             if t.rank < below[i]:  # the sketch missed; the bracket goes back to the column's lower part
                 t.lo, t.hi = span[t.name][1], t.lo
-                wide.append(t)
             elif t.rank >= below[i] + inside[i]:
                 t.lo, t.hi = t.hi, span[t.name][2]
-                wide.append(t)
             elif t.lo == t.hi:
                 t.value = t.lo
-        left = [(i, t) for i, t in enumerate(open_) if t.value is None and t not in wide]
+            else:
+                left.append(i)
         if left:
-            levels = df.select(F.explode(F.array(*[picks[i] for i, _ in left])).alias("p")).filter("p is not null").groupBy("p.i", "p.v").agg(F.count("*").alias("n"))
-            sizes = {r["i"]: r["k"] for r in levels.groupBy("i").agg(F.count("*").alias("k")).collect()} if sum(inside[i] for i, _ in left) > READABLE * len(left) else {}
-            small = [i for i, _ in left if sizes.get(i, 0) <= READABLE]
-            rows = levels.filter(F.col("i").isin(small)).collect() if small else []
-            for i in small:
-                at = below[i]
-                for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["v"]):
-                    at += r["n"]
-                    if at > open_[i].rank:
-                        open_[i].value = r["v"]
-                        break
-            large = [(i, t) for i, t in left if i not in small]
-            if large:
-                _narrow(df, columns, [t for _, t in large], {k: below[i] for k, (i, _) in enumerate(large)}, {k: inside[i] for k, (i, _) in enumerate(large)})
+            levels = _levels(df, columns, [open_[i] for i in left])
+            few = sum(inside[i] for i in left) <= READABLE * len(left) or levels.limit(READABLE * len(left) + 1).count() <= READABLE * len(left)
+            rows = sorted(levels.collect(), key=lambda r: r["v"]) if few else []
+            for i in left if few else []:
+                t, at = open_[i], below[i]
+                for r in rows:
+                    if r["name"] == t.name and t.lo <= r["v"] <= t.hi:
+                        at += r["n"]
+                        if at > t.rank:
+                            t.value = r["v"]
+                            break
+            if not few:
+                _narrow(df, columns, [open_[i] for i in left], dict(enumerate(below[i] for i in left)), dict(enumerate(inside[i] for i in left)))
         open_ = [t for t in open_ if t.value is None]
     return {(t.name, t.rank): float(t.value) for t in targets}
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], at: tuple[float, ...]) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles of each column's finite values, exact; null for a column without any."""
-    clean = {name: N.finite(x) for name, x in columns.items()}
-    asks = [f(v).alias(f"{i}_{k}") for i, v in enumerate(clean.values()) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
-    found = df.agg(*asks).first() if asks else {}
-    span = {name: (found[f"{i}_n"], found[f"{i}_lo"], found[f"{i}_hi"]) for i, name in enumerate(clean)}
-    spots = {name: {p: (n - 1) * p for p in at} for name, (n, _, _) in span.items() if n}
-    ranks = {name: [r for h in own.values() for r in (math.floor(h), math.ceil(h))] for name, own in spots.items()}
-    values = order_statistics(df, clean, ranks, span)
+    inputs = df.select(*[N.finite(x).alias(f"c{i}") for i, x in enumerate(columns.values())])
+    clean = {name: F.col(f"c{i}") for i, name in enumerate(columns)}
+    with kept(inputs) as held:
+        asks = [f(v).alias(f"{i}_{k}") for i, v in enumerate(clean.values()) for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        found = held.agg(*asks).first() if asks else {}
+        span = {name: (found[f"{i}_n"], found[f"{i}_lo"], found[f"{i}_hi"]) for i, name in enumerate(clean)}
+        spots = {name: {p: (n - 1) * p for p in at} for name, (n, _, _) in span.items() if n}
+        ranks = {name: [r for h in own.values() for r in (math.floor(h), math.ceil(h))] for name, own in spots.items()}
+        values = order_statistics(held, clean, ranks, span)
     out: dict[str, dict[float, float | None]] = {}
     for name in columns:
         if name not in spots:
