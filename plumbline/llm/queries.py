@@ -66,6 +66,26 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_spans(_table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+') AS units FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''),
+numbered AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS n, len(units) AS last FROM cut),
+placed AS (
+  SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY n) AS "end", contains(unit, chr(10)) OR n = last AS ends,
+         list_filter(string_split_regex(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM numbered),
+formed AS (
+  SELECT doc_id, n, "end" - length(unit) AS start, "end", ends, coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY n), true) AS begins, len(words) AS k,
+         rtrim(array_to_string(words, ' '), '.!?,;:') AS form FROM placed),
+ranked AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY form) AS first_doc_id, row_number() OVER (PARTITION BY doc_id, form ORDER BY n) AS nth FROM formed WHERE form <> ''),
+marked AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM ranked WHERE doc_id > first_doc_id OR nth > 1),
+runs AS (SELECT *, sum(k) OVER w AS total, min(n) FILTER (begins) OVER w AS lo, max(n) FILTER (ends) OVER w AS hi FROM marked WINDOW w AS (PARTITION BY doc_id, island)),
+chosen AS (SELECT * FROM runs WHERE total >= 15 OR n BETWEEN lo AND hi)
+SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", CAST(sum(k) AS INTEGER) AS n_words, arg_min(first_doc_id, n) AS first_doc_id
+FROM chosen GROUP BY doc_id, island HAVING sum(k) >= 5
+"""
+
+
 def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -148,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": OP1_SQL, "op6_url_list_join": OP6_SQL}
+    return {"op1_merkle_fixity": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_url_list_join": OP6_SQL}

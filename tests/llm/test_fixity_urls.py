@@ -9,7 +9,7 @@ from tests.llm.oracle import compare
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["op1_merkle_fixity", "op6_url_list_join"])
+@pytest.mark.parametrize("name", ["op1_merkle_fixity", "op4_line_dedup", "op6_url_list_join"])
 def test_query_equals_its_sql(spark, name):
     assert compare(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF) > 0
 
