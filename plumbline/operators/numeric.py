@@ -120,11 +120,12 @@ def bin_edges(lo: float, hi: float, bins: int = BINS) -> list[float]:
 
 def histogram(df: DataFrame, columns: Named, limits: dict[str, tuple[float | None, float | None]], bins: int = BINS) -> DataFrame:
     """(column_name, bin, lower, upper, n) for the occupied bins; the last bin holds its upper edge."""
+    inputs = spread(df.select(*[N.finite(columns[name]).alias(f"v{i}") for i, name in enumerate(limits)]))
     parts = []
-    for name, (lo, hi) in limits.items():
+    for i, (name, (lo, hi)) in enumerate(limits.items()):
         if lo is None:
             continue
-        v = N.finite(columns[name])
+        v = F.col(f"v{i}")
         width = (hi - lo) / bins
         index = F.least(F.floor((v - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1)) if hi > lo else F.lit(0)
         low = F.lit(lo) + index * width if hi > lo else F.lit(lo - 0.5)
@@ -133,14 +134,15 @@ def histogram(df: DataFrame, columns: Named, limits: dict[str, tuple[float | Non
         parts.append(F.when(v.isNotNull(), item))
     if not parts:
         return df.sparkSession.createDataFrame([], "column_name string, bin int, lower double, upper double, n long")
-    rows = df.select(F.explode(F.array(*parts)).alias("h")).filter("h is not null")
+    rows = inputs.select(F.explode(F.array(*parts)).alias("h")).filter("h is not null")
     return rows.groupBy("h").agg(F.count("*").alias("n")).select("h.*", "n")
 
 
 def extremes(df: DataFrame, columns: Named, index: Column, k: int = EXTREMES) -> DataFrame:
     """(column_name, side, rank, value, row_index) of the k smallest and largest values; of equal values the earlier row comes first."""
-    parts = [F.struct(F.lit(name).alias("column_name"), N.finite(x).alias("value")) for name, x in columns.items()]
-    rows = df.select(index.alias("row_index"), F.explode(F.array(*parts)).alias("v")).select("v.*", "row_index").filter("value is not null")
+    inputs = spread(df.select(index.alias("row_index"), *[N.finite(x).alias(f"v{i}") for i, x in enumerate(columns.values())]))
+    parts = [F.struct(F.lit(name).alias("column_name"), F.col(f"v{i}").alias("value")) for i, name in enumerate(columns)]
+    rows = inputs.select("row_index", F.explode(F.array(*parts)).alias("v")).select("v.*", "row_index").filter("value is not null")
     sides = []
     for side, order in (("min", F.asc("value")), ("max", F.desc("value"))):
         w = Window.partitionBy("column_name").orderBy(order, F.asc("row_index"))

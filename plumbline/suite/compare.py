@@ -112,3 +112,38 @@ def chk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = [api.summarize(df.select("o_totalprice"), correlations=False) for df in halves(spark, sf_dir)]
     limits = K.Thresholds(min_rows=1_000_000, max_rows_drift_pct=10.0, max_mean_shift_sigma=0.05, max_median_shift_sigma=0.05, max_std_ratio=1.01, max_unique_drift_pct=None)
     return K.check_payload(b, a, limits).to_frame(spark).select("kind", "column")
+
+
+_PAIR = """a AS (SELECT value, user_id, user_id % 2 = 0 AS flag, ts, event_type AS old FROM events WHERE event_id % 2 = 0),
+b AS (SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, user_id * 1000 + event_id % 7 AS user_id, user_id % 4 = 0 AS flag, ts - INTERVAL 1 DAY AS ts, event_type AS new FROM events WHERE event_id % 2 = 1)"""
+
+
+@register("chk_drifts", f"""
+WITH {_PAIR}, x AS (SELECT count(*) AS n, 100.0 * (count(*) - count(value)) / count(*) AS miss, count(DISTINCT user_id) AS u, 100 * avg(CASE WHEN flag THEN 1 ELSE 0 END) AS t, max(ts) AS hi, max(value) AS top, min(value) AS low, max(user_id) AS utop, min(user_id) AS ulow FROM a),
+y AS (SELECT count(*) AS n, 100.0 * (count(*) - count(value)) / count(*) AS miss, count(DISTINCT user_id) AS u, 100 * avg(CASE WHEN flag THEN 1 ELSE 0 END) AS t, max(ts) AS hi, max(value) AS top, min(value) AS low, max(user_id) AS utop, min(user_id) AS ulow FROM b)
+SELECT 'missing' AS kind, 'value' AS "column" FROM y WHERE miss > 20 UNION ALL SELECT 'missing', 'value' FROM x, y WHERE abs(y.miss - x.miss) > 5
+UNION ALL SELECT 'cardinality', 'user_id' FROM x, y WHERE abs(y.u - x.u) / x.u > 0.25 AND abs(y.u / y.n - x.u / x.n) / (x.u / x.n) > 0.25
+UNION ALL SELECT 'boolean', 'flag' FROM x, y WHERE abs(y.t - x.t) > 10 UNION ALL SELECT 'freshness', 'ts' FROM x, y WHERE y.hi <= x.hi UNION ALL SELECT 'freshness', 'ts' FROM y WHERE hi < TIMESTAMP '2100-01-01'
+UNION ALL SELECT 'range', 'value' FROM x, y WHERE y.top > x.top UNION ALL SELECT 'range', 'value' FROM x, y WHERE y.low < x.low UNION ALL SELECT 'range', 'user_id' FROM x, y WHERE y.utop > x.utop UNION ALL SELECT 'range', 'user_id' FROM x, y WHERE y.ulow < x.ulow
+UNION ALL SELECT 'schema', 'old' UNION ALL SELECT 'schema', 'new'""")
+def chk_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline import api
+
+    e = table(spark, sf_dir, "events")
+    a = e.filter("event_id % 2 = 0").selectExpr("value", "user_id", "user_id % 2 = 0 as flag", "ts", "event_type as old")
+    b = e.filter("event_id % 2 = 1").selectExpr("if(event_id % 3 = 0, null, value) as value", "user_id * 1000 + event_id % 7 as user_id", "user_id % 4 = 0 as flag", "ts - interval 1 day as ts", "event_type as new")
+    before, after = [api.summarize(df, correlations=False) for df in (a, b)]
+    limits = K.Thresholds(
+        max_missing_pct=20.0, max_age="1d", fail_on_new_column=True, fail_on_range_expansion=True, require_max_ts_advances=True, max_mean_shift_sigma=None, max_median_shift_sigma=None, max_std_ratio=None
+    )
+    return K.check_payload(after, before, limits, now=4102444800.0 + 86400).to_frame(spark).select("kind", "column")
+
+
+@register("chk_duplicate_pct", tidy_sql("""
+WITH d AS (SELECT l_returnflag, l_linestatus FROM lineitem), n AS (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS u FROM d)
+SELECT 'duplicates' AS kind, NULL AS "column" FROM n WHERE 100.0 * (n - u) / n > 50"""))
+def chk_duplicate_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline import api
+
+    now = api.summarize(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"), correlations=False)
+    return K.check_payload(now, None, K.Thresholds(max_duplicate_pct=50.0)).to_frame(spark).select("kind", "column")
