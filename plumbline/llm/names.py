@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.shared import durable
+
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Each name, with underscores before it until no column of ``df`` has it (names compare without case)."""
@@ -28,7 +30,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     A list of at most BROADCAST_IDS ids is broadcast, so that texts aren't shuffled; a longer one is joined by shuffle.
     """
     (name,) = fresh(docs, "dropped_id")
-    ids = ids.filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    ids = durable(ids.filter("doc_id is not null").select(F.col("doc_id").alias(name)).distinct())  # counted and joined, but found once
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, docs["doc_id"] == ids[name], "left_anti")
