@@ -34,7 +34,7 @@ END_ID = 0
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Rows of the list of parts up to which it is broadcast: 16 bytes each.
 BROADCAST_PARTS = 1 << 17
-_SLOTS = 1 << 22
+#: Units that a worker's table holds, at most, but for a slab that alone has more.
 _FULL = 1 << 21
 
 # white space beyond ASCII, as UTF-8: fixed values of Unicode's White_Space property
@@ -100,23 +100,28 @@ class UnitEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._keys, self._slot_of = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
+        self._forget(0)
+
+    def _forget(self, units: int) -> None:
+        """Empties the table, with slots for _FULL units, or for ``units`` if those are more."""
+        slots = 1 << (2 * max(units, _FULL) - 1).bit_length()
+        self._keys, self._slot_of = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
         self._begin, self._length, self._pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
         found = np.full(len(hashes), -1, np.int64)
-        open_, slot = np.arange(len(hashes)), (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        open_, slot = np.arange(len(hashes)), (hashes & np.uint64(len(self._keys) - 1)).astype(np.int64)
         while len(open_):
             key = self._keys[slot]
             hit = key == hashes[open_]
             found[open_[hit]] = self._slot_of[slot[hit]]
             on = ~hit & (key != 0)
-            open_, slot = open_[on], (slot[on] + 1) & (_SLOTS - 1)
+            open_, slot = open_[on], (slot[on] + 1) & (len(self._keys) - 1)
         return found
 
     def _insert(self, hashes: np.ndarray, entries: np.ndarray) -> None:
-        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slot = (hashes & np.uint64(len(self._keys) - 1)).astype(np.int64)
         while len(hashes):
             free = self._keys[slot] == 0
             _, one = np.unique(slot, return_index=True)
@@ -124,11 +129,9 @@ class UnitEncoder:
             won[one] = True
             won &= free
             self._keys[slot[won]], self._slot_of[slot[won]] = hashes[won], entries[won]
-            hashes, entries, slot = hashes[~won], entries[~won], (slot[~won] + 1) & (_SLOTS - 1)
+            hashes, entries, slot = hashes[~won], entries[~won], (slot[~won] + 1) & (len(self._keys) - 1)
 
     def _learn(self, texts: list[str], hashes: np.ndarray) -> None:
-        if len(self._begin) > _FULL:  # forget all, so that memory stays bounded
-            self.__init_table()
         ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         begins = len(self._pool) + np.cumsum(lengths) - lengths
@@ -137,10 +140,6 @@ class UnitEncoder:
         self._begin, self._length = np.concatenate([self._begin, begins]), np.concatenate([self._length, lengths])
         self._insert(hashes, entries.astype(np.int32))
 
-    def __init_table(self) -> None:
-        self._keys[:] = 0
-        self._begin, self._length, self._pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slabs of rows as (first row, ids, offsets of the rows' ids)."""
         for row, data, offsets in vec.slabs(column):
@@ -152,10 +151,15 @@ class UnitEncoder:
             new = np.flatnonzero(found < 0)
             if len(new):
                 keys, at = np.unique(hashes[new], return_index=True)
+                if len(self._begin) + len(keys) > _FULL:  # forget all, so that memory stays bounded; then each unit of the slab is new
+                    new = np.arange(len(hashes))
+                    keys, at = np.unique(hashes, return_index=True)
+                    self._forget(len(keys))
                 at = new[at]
                 raw = data.tobytes()
                 self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], keys)
                 found = self._find(hashes)
+                assert (found >= 0).all(), "a unit without an entry"
             lengths = self._length[found]
             ends_at = np.cumsum(lengths)
             total = int(ends_at[-1]) if len(ends_at) else 0

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import types as T
@@ -51,6 +52,18 @@ def test_token_files_equal_the_library(spark):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("full", [4, 300])
+def test_a_full_table_of_units_loses_no_ids(monkeypatch, full):
+    monkeypatch.setattr(tokens, "_FULL", full)
+    monkeypatch.setattr(tokens.vec.slabs, "__defaults__", (2000,))  # many slabs, each with common words that earlier ones had
+    rng = random.Random(2)
+    common = ["the", "of", "and", "to", "in"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh", k=5)) for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    encoder = tokens.UnitEncoder(P.path("byte_bpe_50k.json"))
+    got = [ids[a:b].tolist() for _, ids, bounds in encoder.encode(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [encoder._tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_format(spark, tmp_path):
     import pyarrow.parquet as pq
 
