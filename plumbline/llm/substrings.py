@@ -44,7 +44,8 @@ def normal_words(unit: str) -> tuple[bytes, int]:
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, k, doc_id, mark, local, meta, place) of each unit with a word: 96 bits of its digest, a digest of its text, whether the
-    text has it before, and, in two longs, its number, words and whether a line begins and ends with it, and its start and end."""
+    text has it before, and, in two longs, its number among these, words and whether a line begins and ends with it but for units
+    without words, and its start and end."""
     names = ["h", "k", "doc_id", "mark", "local", "meta", "place"]
     for batch in batches:
         digests, docs, marks, local, meta, place = [], [], [], [], [], []
@@ -58,9 +59,9 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays(columns, names)
 
         for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), strict=True):
-            seen, at, begins = set(), 0, True
+            seen, at, begins, n = set(), 0, True, 0
             text = text.as_py() or ""
-            for n, unit in enumerate(units(text)):
+            for unit in units(text):
                 end = at + len(unit)
                 ends = unit.endswith("\n") or end == len(text) or "\n" in unit
                 form, words = normal_words(unit)
@@ -73,7 +74,12 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     meta.append(n << 16 | min(words, _MOST_WORDS) << 2 | begins << 1 | ends)
                     place.append(at << 32 | end)
                     seen.add(digest)
-                at, begins = end, ends
+                    n, begins = n + 1, ends
+                elif ends:
+                    begins = True
+                    if n:
+                        meta[-1] |= 1
+                at = end
             if len(docs) > 200_000:
                 yield rows()
                 digests, docs, marks, local, meta, place = [], [], [], [], [], []
@@ -99,7 +105,7 @@ def _runs(least_run: int, least_line: int):
                 out.append({"start": part[0][4], "end": part[-1][5], "n_words": sum(u[1] for u in part), "first_doc_id": part[0][6]})
 
         for unit in found:
-            if run and unit[4] != run[-1][5]:
+            if run and unit[0] != run[-1][0] + 1:  # units without words aren't numbered, so they don't cut
                 close()
                 run = []
             run.append(unit)

@@ -95,3 +95,17 @@ def test_edge_rows(spark):
         [(1, f"{line}\nq\n", 31), (2, "other", 5), (2, "yet another", 11), (3, None, None), (4, "", 0), (None, line, 28), (5, f"a {line}", 30), (6, "", 0), (7, "\n\n", 2)], key=str
     )
     assert substrings.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_units_without_words_neither_cut_nor_hide_line_ends(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    lines = [" ".join(word() for _ in range(10)) for _ in range(6)]
+    for k, cut in enumerate([".\r\n", ". \n", ". . .", "!\n \n\t\n"]):
+        passage = cut.join(lines) + cut
+        rows = [(0, passage), (1, passage), (2, f"{word()} {word()}\n{passage}{word()} {word()}"), (3, f"{word()}.\r\n{lines[0]}.\r\n{word()}")]
+        got = sorted(tuple(r) for r in substrings.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert [(r[0], r[3], r[4]) for r in got] == [(1, 60, 0), (2, 60, 0), (3, 10, 0)], cut
+        for doc, start, end, _, _ in got:
+            removed = rows[doc][1][start:end]
+            assert removed.startswith(lines[0]) and removed.rstrip(" \t\r\n.!").endswith(lines[0 if doc == 3 else -1])
