@@ -25,7 +25,10 @@ from plumbline.shared import durable
 
 #: Words of a run, and of whole lines, from which on it is removed.
 RUN_WORDS, LINE_WORDS = 15, 5
-_CUT = re.compile(r"[^\n.!?,;:]*[\n.!?,;:]+|[^\n.!?,;:]+")
+_MARKS = ".!?,;:。！？，；：、｡､"
+_CUT = re.compile(rf"[^\n{_MARKS}]*[\n{_MARKS}]+|[^\n{_MARKS}]+")
+#: Letters of scripts that put no blanks between words (Thai, Lao, Burmese, Khmer, kana, Han), and how many count as a word.
+_UNSPACED, UNSPACED_WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"), 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MOST_WORDS = (1 << 14) - 1
 _SPANS = "array<struct<start:int,end:int,n_words:int,first_doc_id:long>>"
@@ -39,7 +42,13 @@ def units(text: str) -> list[str]:
 def normal_words(unit: str) -> tuple[bytes, int]:
     """The normal form of a unit and its number of words; a unit without words has an empty form."""
     words = unit.encode("utf-8", "replace").translate(_LOWER).split()
-    return b" ".join(words).rstrip(b".!?,;:"), len(words)
+    form, n = b" ".join(words).rstrip(b".!?,;:"), len(words)
+    if not unit.isascii():
+        form = form.decode().rstrip(_MARKS).encode()
+        rest, unspaced = _UNSPACED.subn(" ", unit.rstrip(_MARKS + " \t\n\v\f\r"))
+        if unspaced:
+            n = len(rest.encode("utf-8", "replace").split()) + -(-unspaced // UNSPACED_WORD)
+    return form, n
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,3 +109,13 @@ def test_units_without_words_neither_cut_nor_hide_line_ends(spark):
         for doc, start, end, _, _ in got:
             removed = rows[doc][1][start:end]
             assert removed.startswith(lines[0]) and removed.rstrip(" \t\r\n.!").endswith(lines[0 if doc == 3 else -1])
+
+
+def test_scripts_without_blanks(spark):
+    rng = random.Random(4)
+    for low, high, mark in ((0x4E00, 0x9FA5, "。"), (0x3041, 0x3096, "、"), (0x0E01, 0x0E2E, "\n")):
+        sentence = lambda n: "".join(chr(rng.randint(low, high)) for _ in range(n)) + mark  # noqa: E731,B023
+        passage = "".join(sentence(14) for _ in range(4))
+        rows = [(0, passage), (1, passage), (2, sentence(9) + passage + sentence(9)), (3, sentence(60))]
+        got = sorted(tuple(r) for r in substrings.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == [(1, 0, 60, 28, 0), (2, 10, 70, 28, 0)]
