@@ -8,13 +8,16 @@ pages of a range of documents.
 
 The tokenizer's own library encodes each distinct stretch of text once: a worker cuts the
 UTF-8 buffer of a batch where pre-tokens are certain to begin, hashes the stretches with
-array operations, looks them up in a table that the worker keeps, and hands the library
-only those it hasn't seen.
+array operations, looks them up in a table that the worker keeps, compares the bytes, and
+hands the library only those it hasn't seen. Texts in which the cuts may not hold (white
+space beyond ASCII, strings of added tokens, a hash shared by two stretches) and texts for
+a tokenizer of another kind are handed to the library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -35,7 +38,9 @@ ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: Rows of the list of parts up to which it is broadcast: 16 bytes each.
 BROADCAST_PARTS = 1 << 17
 #: Units that a worker's table holds, at most, but for a slab that alone has more.
-_FULL = 1 << 21
+_FULL = 1 << 20
+#: Units that the library encodes at once.
+_ASKED = 4096
 
 # white space beyond ASCII, as UTF-8: fixed values of Unicode's White_Space property
 _WIDE_SPACES = [bytes.fromhex(h) for h in "c285 c2a0 e19a80 e28080 e28081 e28082 e28083 e28084 e28085 e28086 e28087 e28088 e28089 e2808a e280a8 e280a9 e280af e2819f e38080".split()]
@@ -91,22 +96,53 @@ def rows_with_wide_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, at[hit], "right") - 1)
 
 
+def _cuts_hold(tokenizer) -> bool:
+    """Whether a tokenizer is byte-level without a normalizer, so that units of unit_starts can be encoded apart."""
+    parts = json.loads(tokenizer.to_str())
+    pre = parts.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    return bool(plain and not parts.get("normalizer") and parts["model"]["type"] == "BPE")
+
+
+class _Grown:
+    """An array that grows by doubling."""
+
+    def __init__(self, kind: type, first: list | None = None):
+        self._held, self.n = np.zeros(1024, kind), 0
+        self.add(np.array(first or [], kind))
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self._held):
+            grown = np.zeros(max(2 * len(self._held), self.n + len(more)), self._held.dtype)
+            grown[: self.n] = self._held[: self.n]
+            self._held = grown
+        self._held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._held[: self.n]
+
+
 class UnitEncoder:
-    """Encodes columns of texts with a ``tokenizers`` tokenizer, each distinct unit once as long as the table isn't full."""
+    """Encodes columns of texts with a ``tokenizers`` tokenizer as it is by default, each distinct unit once as long as the table isn't full."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._added = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._by_units = _cuts_hold(self._tokenizer)
         self._forget(0)
 
     def _forget(self, units: int) -> None:
         """Empties the table, with slots for _FULL units, or for ``units`` if those are more."""
         slots = 1 << (2 * max(units, _FULL) - 1).bit_length()
         self._keys, self._slot_of = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
-        self._begin, self._length, self._pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        # of each entry: where its ids and its bytes begin, and how many there are; the last ones are the pools
+        self._begin, self._length, self._ids = _Grown(np.int64), _Grown(np.int32), _Grown(np.int32)
+        self._raw_begin, self._size, self._raw = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint8)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, or -1."""
@@ -131,41 +167,72 @@ class UnitEncoder:
             self._keys[slot[won]], self._slot_of[slot[won]] = hashes[won], entries[won]
             hashes, entries, slot = hashes[~won], entries[~won], (slot[~won] + 1) & (len(self._keys) - 1)
 
-    def _learn(self, texts: list[str], hashes: np.ndarray) -> None:
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        begins = len(self._pool) + np.cumsum(lengths) - lengths
-        self._pool = np.concatenate([self._pool, *([np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))] if len(ids) else [])])
-        entries = len(self._begin) + np.arange(len(ids))
-        self._begin, self._length = np.concatenate([self._begin, begins]), np.concatenate([self._length, lengths])
-        self._insert(hashes, entries.astype(np.int32))
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Adds units, a few thousand at a time: the library's results are large objects."""
+        for lo in range(0, len(starts), _ASKED):
+            units = [raw[a:b] for a, b in zip(starts[lo : lo + _ASKED].tolist(), ends[lo : lo + _ASKED].tolist(), strict=True)]
+            found = [e.ids for e in self._tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
+            entries = self._begin.n + np.arange(len(units))
+            for begin, size, pool, parts in ((self._begin, self._length, self._ids, found), (self._raw_begin, self._size, self._raw, units)):
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                begin.add(pool.n + np.cumsum(sizes) - sizes)
+                size.add(sizes)
+                pool.add(np.frombuffer(b"".join(parts), np.uint8) if parts is units else np.fromiter((i for p in parts for i in p), np.int32, int(sizes.sum())))
+            self._insert(hashes[lo : lo + _ASKED], entries.astype(np.int32))
+
+    def _strange(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Units that aren't, byte for byte, those of their entries. Units stand side by side and cover ``data``."""
+        size, pool = ends - starts, self._raw.all
+        theirs = np.arange(len(data)) + np.repeat(self._raw_begin.all[found] - starts, size)
+        differ = pool[np.minimum(theirs, len(pool) - 1)] != data
+        return np.flatnonzero((size != self._size.all[found]) | np.logical_or.reduceat(differ, starts))
+
+    def _rows_with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold the string of an added token."""
+        raw, at = data.tobytes(), []
+        for content in self._added:
+            place = raw.find(content)
+            while place >= 0:
+                at.append(place)
+                place = raw.find(content, place + 1)
+        return np.unique(np.searchsorted(offsets, at, "right") - 1) if at else np.zeros(0, np.int64)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, offsets of the rows' ids, and rows that have to be encoded whole."""
+        starts = unit_starts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(data))
+        hashes = vec.word_hashes(data, starts, ends)
+        hashes[hashes == 0] = 1
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            keys, at = np.unique(hashes[new], return_index=True)
+            if self._begin.n + len(keys) > _FULL:  # forget all, so that memory stays bounded; then each unit of the slab is new
+                new = np.arange(len(hashes))
+                keys, at = np.unique(hashes, return_index=True)
+                self._forget(len(keys))
+            at = new[at]
+            self._learn(data.tobytes(), starts[at], ends[at], keys)
+            found = self._find(hashes)
+            assert (found >= 0).all(), "a unit without an entry"
+        lengths = self._length.all[found].astype(np.int64)
+        upto = np.cumsum(lengths)
+        ids = self._ids.all[np.repeat(self._begin.all[found] - (upto - lengths), lengths) + np.arange(int(upto[-1]))]
+        bounds = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
+        strange = np.searchsorted(offsets, starts[self._strange(data, starts, ends, found)], "right") - 1
+        odd = [strange, rows_with_wide_space(data, offsets), self._rows_with_added(data, offsets)]
+        return ids, bounds, np.unique(np.concatenate(odd))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slabs of rows as (first row, ids, offsets of the rows' ids)."""
         for row, data, offsets in vec.slabs(column):
-            starts = unit_starts(data, offsets)
-            ends = np.append(starts[1:], len(data)) if len(starts) else starts
-            hashes = vec.word_hashes(data, starts, ends)
-            hashes[hashes == 0] = 1
-            found = self._find(hashes)
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                keys, at = np.unique(hashes[new], return_index=True)
-                if len(self._begin) + len(keys) > _FULL:  # forget all, so that memory stays bounded; then each unit of the slab is new
-                    new = np.arange(len(hashes))
-                    keys, at = np.unique(hashes, return_index=True)
-                    self._forget(len(keys))
-                at = new[at]
-                raw = data.tobytes()
-                self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], keys)
-                found = self._find(hashes)
-                assert (found >= 0).all(), "a unit without an entry"
-            lengths = self._length[found]
-            ends_at = np.cumsum(lengths)
-            total = int(ends_at[-1]) if len(ends_at) else 0
-            ids = self._pool[np.repeat(self._begin[found] - (ends_at - lengths), lengths) + np.arange(total)]
-            bounds = np.concatenate([[0], ends_at])[np.searchsorted(starts, offsets)]
-            odd = rows_with_wide_space(data, offsets)
+            n = len(offsets) - 1
+            if self._by_units:
+                ids, bounds, odd = self._units(data, offsets)
+            else:
+                ids, bounds, odd = np.zeros(0, np.int32), np.zeros(n + 1, np.int64), np.arange(n)
             if len(odd):
                 parts = np.split(ids, bounds[1:-1])
                 for r in odd.tolist():

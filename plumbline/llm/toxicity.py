@@ -45,10 +45,8 @@ def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     """Starts, ends and rows of the words, and hashes (words, 1 + prefixes) of each word and its beginnings."""
     folded = _FOLD[data]
     starts, ends, rows = vec.word_bounds(folded, offsets)
-    hashes = np.empty((len(starts), 1 + len(PREFIXES)), np.uint64)
-    hashes[:, 0] = vec.word_hashes(folded, starts, ends)
-    for k, n in enumerate(PREFIXES, 1):
-        hashes[:, k] = vec.word_hashes(folded, starts, np.minimum(starts + n, ends)) ^ np.uint64(n)
+    hashes = vec.word_hashes(folded, starts, ends, PREFIXES)
+    hashes[:, 1:] ^= np.array(PREFIXES, np.uint64)
     return starts, ends, rows, hashes
 
 

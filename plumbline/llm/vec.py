@@ -15,8 +15,19 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once.
 SLAB = 1 << 20
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _scrambled(n: int) -> np.ndarray:
+    """n numbers without a pattern, always the same."""
+    with np.errstate(over="ignore"):
+        x = np.arange(1, n + 1, dtype=np.uint64) * _PLACE
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+_BYTES = _scrambled(256)
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -78,34 +89,39 @@ def word_bounds(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    p = np.full(n + 1, base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word's folded bytes; it depends on those alone. With ``prefixes`` (n, 1 + prefixes): also of so many first bytes.
 
-
-_UP, _DOWN = _powers(SLAB + (1 << 16), _MULT), _powers(SLAB + (1 << 16), _INVERSE)
-
-
-def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's folded bytes; it depends on those alone."""
-    out = np.empty(len(starts), np.uint64)
+    Each byte is scrambled together with its place in the word, and these numbers are
+    added up. (A polynomial in one base gives some repetitive words the same hash whatever
+    the base.)
+    """
+    out = np.empty((len(starts), 1 + len(prefixes)), np.uint64)
     lo = 0
     while lo < len(starts):
         base = int(starts[lo])
         hi = max(lo + 1, int(np.searchsorted(ends, base + SLAB, "right")))
         span = int(ends[hi - 1]) - base
-        up, down = (_UP, _DOWN) if span < len(_UP) else (_powers(span, _MULT), _powers(span, _INVERSE))
+        s, e = starts[lo:hi] - base, ends[lo:hi] - base
+        place = np.arange(span, dtype=np.uint64)
+        first = np.zeros(span, np.uint64)
+        inner = s < span  # an empty word may stand at the very end
+        first[s[inner]] = s[inner].astype(np.uint64)
+        place -= np.maximum.accumulate(first)
         with np.errstate(over="ignore"):
+            place *= _PLACE
+            place += _BYTES[folded[base : base + span]]
+            place ^= place >> np.uint64(31)
+            place *= np.uint64(0xFF51AFD7ED558CCD)
+            place ^= place >> np.uint64(29)
             sums = np.zeros(span + 1, np.uint64)
-            np.cumsum((folded[base : base + span].astype(np.uint64) + np.uint64(1)) * up[:span], out=sums[1:])
-            s, e = starts[lo:hi] - base, ends[lo:hi] - base
-            h = (sums[e] - sums[s]) * down[s]
-            h ^= h >> np.uint64(33)
-            h *= np.uint64(0xFF51AFD7ED558CCD)
-            h ^= h >> np.uint64(33)
-            h *= np.uint64(0xC4CEB9FE1A85EC53)
-            h ^= h >> np.uint64(33)
-        out[lo:hi] = h
+            np.cumsum(place, out=sums[1:])
+            for k, n in enumerate((None, *prefixes)):
+                upto = e if n is None else np.minimum(s + n, e)
+                h = sums[upto] - sums[s] + (upto - s).astype(np.uint64) * _PLACE
+                h ^= h >> np.uint64(33)
+                h *= np.uint64(0xC4CEB9FE1A85EC53)
+                h ^= h >> np.uint64(33)
+                out[lo:hi, k] = h
         lo = hi
-    return out
+    return out if prefixes else out[:, 0]

@@ -38,7 +38,6 @@ def crc_of(ids):
 
 def test_token_files_equal_the_library(spark):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     for docs in (odd_docs(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
@@ -64,6 +63,36 @@ def test_a_full_table_of_units_loses_no_ids(monkeypatch, full):
     assert got == [encoder._tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def encoded(path, texts):
+    encoder = tokens.UnitEncoder(path)
+    return [ids[a:b].tolist() for _, ids, bounds in encoder.encode(pa.array(texts)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def test_stretches_of_one_hash_and_added_tokens(monkeypatch):
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    texts = [word, other, f"{other} {word}", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endof", "text|>", "x<|endoftext|", "<|startoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(P.path(name))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoded(P.path(name), texts) == want
+        with monkeypatch.context() as patched:  # all stretches share three hashes
+            patched.setattr(tokens.vec, "word_hashes", lambda data, starts, ends: ((ends - starts) % 3 + 1).astype(np.uint64))
+            assert encoded(P.path(name), texts) == want
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word ", "Zahl7 ", "é\u00a0", "\n\n", "'s ", "x" * 50]) for _ in range(400_000))
+    docs = spark.createDataFrame([(2, text), (1, "short"), (3, None), (2, text)], "doc_id long, text string")
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.token_digests(docs).collect()}
+    assert (2, len(ids), crc_of(ids)) in got and len(got) == 3
+
+
 def test_token_files_format(spark, tmp_path):
     import pyarrow.parquet as pq
 
@@ -91,7 +120,8 @@ def test_token_files_of_an_empty_table(spark):
 def brute(enc, rows):
     out = []
     for doc, text in rows:
-        ids = enc.encode_ordinary(text or "")
+        blank = len(text or "") > 100_000 and not text.strip()  # too long a match for the library
+        ids = enc._encode_single_piece(text) if blank else enc.encode_ordinary(text or "")
         out.append((doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     return sorted(out, key=str)
 
@@ -108,11 +138,26 @@ def test_chunks_equal_whole_texts(spark, rank_encoding):
     rows += [rows[0], rows[0], (None, rows[1][1], None, None), (0, rows[2][1], None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
     want = brute(rank_encoding, [(r[0], r[1]) for r in rows])
-    for chunk, overlap in ((64, 16), (100, 30), (256, 64)):
-        got = sorted((tuple(r) for r in bpe.encode_digests(docs, chunk=chunk, overlap=overlap).collect()), key=str)
+    for chunk, overlap, long, far in ((64, 16, 10_000, (100, 30)), (100, 30, 200, (64, 16)), (256, 64, 0, (256, 64))):
+        got = sorted((tuple(r) for r in bpe.encode_digests(docs, chunk=chunk, overlap=overlap, long=long, far=far).collect()), key=str)
         assert got == want
 
 
+def test_the_query_cuts_texts_into_chunks(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    pieces = [len(bpe.cuts(t, P.PATTERN, bpe.CHUNK, bpe.OVERLAP)) for t in texts]
+    assert sum(n > 1 for n in pieces) > 10 and sum(len(t) > bpe.CHUNK for t in texts) == sum(n > 1 for n in pieces)
+
+
+def test_a_very_long_text_by_chunks(spark, rank_encoding):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["word ", "Zahl7 ", "é", "\n\n", "'s ", "日本"]) for _ in range(500_000))
+    assert len(text) > bpe.LONG
+    rows = [(1, text), (2, text), (3, " " * (bpe.LONG + 5)), (4, "short")]
+    got = bpe.encode_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rank_encoding, rows)
+
+
 def test_bpe_query_and_odd_texts(spark, rank_encoding):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute(rank_encoding, [(r.doc_id, r.text) for r in docs.collect()])
