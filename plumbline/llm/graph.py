@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.shared import durable
+from plumbline.shared import durable, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs a node's larger neighbours on its least one, then its smaller
     neighbours on their least; the number of rounds grows with the logarithm of the
-    longest chain. A round's edges are written to the shared folder. Self-loops and
+    longest chain. A round's edges are written to the shared folder, and deleted after the
+    next. Self-loops and
     repeated edges are allowed; a null end drops the edge; no edges give no rows.
     """
     u, v = F.greatest("u", "v"), F.least("u", "v")
@@ -25,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(nearest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = durable(small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, durable(small.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
+        release(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

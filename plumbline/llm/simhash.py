@@ -6,28 +6,35 @@ is compared bit-sliced: its members' bits stand in vertical planes, one machine
 64 members, and a carry-save pair of words counts the differing bits of 64 pairs at a
 time, with a third word for lanes beyond the radius. A block of members that is wholly
 beyond it is left at once. A bucket gives at most one link for each member (to the first
-member of its group), so groups of copies never become pairs. A bucket above TILE members
-is cut into tiles, and each pair of tiles is a task's work of its own.
+member of its group), so groups of copies never become pairs. The members of a bucket above
+TILE go on to four smaller buckets each: the bits that they needn't share are cut into four
+parts, and members at most three bits apart share one of them. So no bucket is held whole
+however large it is, and rows grow with the members, not with their pairs. Buckets that a
+sample shows to be that large are cut before they are dealt to tasks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import graph
+from plumbline.llm.names import drop_rows, join_counted, text_mark
 from plumbline.shared import durable
 
 #: Differing bits up to which fingerprints link, words of a shingle, and the seed of their hash.
 RADIUS, SHINGLE, SEED = 3, 3, 42
-#: Members of a bucket that one task compares.
+#: Members of a bucket that are compared with one another, at most.
 TILE = 1 << 15
+#: Fingerprints of the sample that shows large buckets, about, and of those, members of a bucket that count as proof.
+SAMPLE, PROOF = 1 << 18, 32
 _BLOCKS = (11, 11, 11, 11, 10, 10)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ONE = np.uint64(1)
@@ -42,6 +49,18 @@ def masks() -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(blocks, len(_BLOCKS) - RADIUS))]
 
 
+@functools.lru_cache(1 << 12)
+def narrower(mask: int) -> list[int]:
+    """A mask of agreed bits with each part of the other bits added, one part more than differing bits allowed; none if the others are too few to matter."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    parts = RADIUS + 1
+    if len(free) < parts:
+        return []
+    cuts = [len(free) * k // parts for k in range(parts + 1)]
+    found = [(mask & (1 << 64) - 1) | sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
 def shingle_hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "replace").translate(_LOWER).split()
     if len(words) > SHINGLE:
@@ -67,12 +86,12 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row, fp as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, mark, fp) of each row, with its text's mark and fp as a signed long."""
+    return docs.select(F.col("doc_id").cast("long"), text_mark(docs).alias("mark"), "text").mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
 
 
 def _planes(fps: np.ndarray, lane: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
@@ -160,18 +179,16 @@ def _large_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[moved], fps[label[moved]]
 
 
-_LINKS = "g long, a int, b int, x long, y long"
-
+_LINKS = "m long, x long, y long"
 
-def _rows(g=None, a=None, b=None, x=None, y=None) -> pa.RecordBatch:
-    n = len(x)
-    columns = [(g, pa.int64()), (a, pa.int32()), (b, pa.int32()), (x.view(np.int64), pa.int64()), (None if y is None else y.view(np.int64), pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in columns], ["g", "a", "b", "x", "y"])
 
+def _rows(x: np.ndarray, y: np.ndarray | None = None, m: np.ndarray | None = None) -> pa.RecordBatch:
+    columns = [None if m is None else m, x.view(np.int64), None if y is None else y.view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["m", "x", "y"])
 
-def _linker(tile: int | None):
-    """Links within the groups of sorted rows (g, x). A group above ``tile`` comes out again as rows of its pairs of tiles (g, a, b, x)."""
 
+def _linker(tile: int):
+    """Links (x, y) within the groups of rows (g, m, x) sorted by g; members of a group above ``tile`` come out again as (m, x), for each narrower mask."""
     def closed(g: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         size = np.diff(np.r_[first, len(g)])
@@ -180,47 +197,96 @@ def _linker(tile: int | None):
             for k in range(0, len(some), 4096):
                 x, y = _small_links(fps, first[some[k : k + 4096]], size[some[k : k + 4096]])
                 if len(x):
-                    yield _rows(x=x, y=y)
+                    yield _rows(x, y)
         for k in np.flatnonzero(size > 64).tolist():
-            group = fps[first[k] : first[k] + size[k]]
-            if tile is None or size[k] <= tile:
-                x, y = _large_links(group)
-                if len(x):
-                    yield _rows(x=x, y=y)
-                continue
-            tiles = [group[i : i + tile // 2] for i in range(0, len(group), tile // 2)]
-            for a, c in combinations(range(len(tiles)), 2):
-                for part in (tiles[a], tiles[c]):
-                    yield _rows(np.full(len(part), g[first[k]]), np.full(len(part), a), np.full(len(part), c), part)
+            x, y = _large_links(fps[first[k] : first[k] + size[k]])
+            if len(x):
+                yield _rows(x, y)
+
+    def narrowed(m: np.ndarray, fps: np.ndarray, head: np.uint64) -> Iterator[pa.RecordBatch]:
+        """Rows of the narrower buckets; where too few bits are free, all members are within the radius, and linked to the first."""
+        for mask in np.unique(m).tolist():
+            own = fps[m == mask]
+            below = narrower(mask)
+            if not below:
+                yield _rows(own, np.full(len(own), head))
+            for b in below:
+                yield _rows(own, m=np.full(len(own), b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        g, m, x = none
+        over, head = None, np.uint64(0)  # the group that has gone above the tile, and its first member
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, x = batch.column("g").to_numpy(), batch.column("x").to_numpy().view(np.uint64)
-            cut = int(np.searchsorted(g, g[-1], "left"))  # the last group may go on in the next batch
-            if cut or (held and held[-1][0][-1] != g[0]):
-                held.append((g[:cut], x[:cut]))
-                parts = [h for h in held if len(h[0])]
-                if parts:
-                    yield from closed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-                held = []
-            held.append((g[cut:], x[cut:]))
-        if held:
-            yield from closed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            more = batch.column("g").to_numpy(), batch.column("m").to_numpy(), batch.column("x").to_numpy().view(np.uint64)
+            if over is not None:
+                cut = int(np.searchsorted(more[0], over, "right"))
+                yield from narrowed(more[1][:cut], more[2][:cut], head)
+                if cut == batch.num_rows:
+                    continue
+                over, more = None, tuple(c[cut:] for c in more)
+            g, m, x = (np.concatenate(c) for c in zip((g, m, x), more, strict=True))
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            size = np.diff(np.r_[first, len(g)])
+            for k in np.flatnonzero(size > tile).tolist():
+                a, b = int(first[k]), int(first[k] + size[k])
+                yield from narrowed(m[a:b], x[a:b], x[a])
+                if b == len(g):
+                    over, head = g[a], x[a]
+            last = len(g) if over is not None else int(first[-1])  # the last group may go on in the next batch
+            small = np.repeat(size <= tile, size)[:last]
+            if small.any():
+                yield from closed(g[:last][small], x[:last][small])
+            g, m, x = none if over is not None else (g[last:], m[last:], x[last:])
+        if len(g):
+            yield from closed(g, x)
 
     return run
 
 
-def links(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+def _bucket(m: Column, x: Column) -> Column:
+    return F.xxhash64(m, x.bitwiseAND(m))
+
+
+def links(distinct: DataFrame, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """(u, v) links among distinct fingerprints (fp): those at most RADIUS bits apart are connected by them."""
-    keys = [F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks())]
-    spread = distinct.select(F.explode(F.array(*keys)).alias("g"), F.col("fp").alias("x"))
-    found = durable(spread.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(tile), _LINKS))
-    tiles = found.filter("y is null").select(F.xxhash64("g", "a", "b").alias("g"), "x")
-    more = tiles.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(None), _LINKS)
-    return found.filter("y is not null").unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    first = masks()
+    each = F.explode(F.array(*[F.lit(m).cast("long") for m in first])).alias("m")
+    rows = distinct.select(F.col("fp").alias("x"), each).select(_bucket(F.col("m"), F.col("x")).alias("g"), "m", "x")
+    n = distinct.count()
+    if n <= tile:  # no bucket can be larger
+        found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(tile), _LINKS)
+        return found.select(F.col("x").alias("u"), F.col("y").alias("v"))
+    one_in = max(1, n // sample)
+    seen = rows.filter(F.pmod(F.xxhash64(F.lit(7), "x"), F.lit(one_in)) == 0).groupBy("g").agg(F.count("*").alias("n"))
+    large = durable(seen.filter((F.col("n") * one_in > tile) & (F.col("n") >= min(PROOF, tile))).select(F.col("g").alias("large")))  # at most 20 * sample / PROOF rows
+    todo = rows
+    if large.limit(1).count():
+        below = F.create_map(*[c for m in first for c in (F.lit(m).cast("long"), F.array(*[F.lit(b).cast("long") for b in narrower(m)]))])
+        known = rows.join(F.broadcast(large), F.col("g") == F.col("large"), "left")
+        todo = known.select(F.explode(F.when(F.col("large").isNull(), F.array("m")).otherwise(F.element_at(below, F.col("m")))).alias("m"), "x")
+        todo = todo.select(_bucket(F.col("m"), F.col("x")).alias("g"), "m", "x")
+    out = None
+    while True:
+        found = durable(todo.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(tile), _LINKS))
+        own = found.filter("y is not null").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        out = own if out is None else out.unionByName(own)
+        more = found.filter("y is null")
+        if not more.limit(1).count():
+            return out
+        todo = more.select(_bucket(F.col("m"), F.col("x")).alias("g"), "m", "x")
+
+
+def _classes(prints: DataFrame, first: Column, tile: int) -> DataFrame:
+    """(fp, zero, n, first): of each fingerprint the least ``first`` of its component, and how many rows have it."""
+    distinct = durable(prints.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")))
+    roots = graph.components(links(distinct.select("fp"), tile)).withColumnRenamed("node", "fp")
+    placed = distinct.join(roots, "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+    sizes = placed.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    named = join_counted(placed.select("fp", F.col("n").alias("rows"), "root", F.lit(0).alias("zero")), durable(sizes.withColumn("zero", F.lit(0))), "root", "zero", F.xxhash64("fp"))
+    return durable(named.select("fp", "zero", F.col("rows").alias("n"), "first"))
 
 
 def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
@@ -232,8 +298,21 @@ def near_duplicates(docs: DataFrame, tile: int = TILE) -> DataFrame:
     aren't read. An empty table gives an empty result.
     """
     prints = durable(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = durable(graph.components(links(distinct.select("fp"), tile))).withColumnRenamed("node", "fp")
-    placed = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _classes(prints, F.col("doc_id"), tile)
+    found = join_counted(prints.select("doc_id", "mark", "fp", F.lit(0).alias("zero")), named, "fp", "zero", F.xxhash64("doc_id", "mark"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs`` without near copies of earlier ones, all columns as they are: of each component the row of the lowest doc_id stays.
+
+    A null doc_id comes after all others; of different texts of one doc_id that of the
+    lowest hash comes first. Rows equal in doc_id and text are one document, which stays or
+    goes as a whole.
+    """
+    prints = durable(fingerprints(docs))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    named = _classes(prints, rank, tile)
+    found = join_counted(prints.select("doc_id", "mark", "fp", F.lit(0).alias("zero")), named, "fp", "zero", F.xxhash64("doc_id", "mark"))
+    gone = found.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))))
+    return drop_rows(docs, gone.select("doc_id", "mark"))

@@ -34,7 +34,7 @@ def brute_components(prints):
 
     def find(f):
         while root[f] != f:
-            f = root[f]
+            root[f] = f = root[root[f]]
         return f
 
     for i, f in enumerate(distinct):
@@ -54,8 +54,8 @@ def test_query_equals_brute_force(spark):
     assert sorted(tuple(r) for r in queries.op10_simhash(spark, SF).collect()) == want
 
 
-@pytest.mark.parametrize("tile", [1 << 15, 128])
-def test_links_of_chains_and_crowds(spark, tile):
+@pytest.mark.parametrize("tile,sample", [(1 << 15, 1 << 18), (128, 1 << 18), (32, 100), (32, 1)])
+def test_links_of_chains_and_crowds(spark, tile, sample):
     rng = random.Random(3)
     centre = [rng.getrandbits(64) for _ in range(40)]
     prints = [c for c in centre for _ in range(3)]
@@ -70,8 +70,8 @@ def test_links_of_chains_and_crowds(spark, tile):
     prints += [0, 0, 2**64 - 1, rng.getrandbits(64)]
     rng.shuffle(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    found = simhash.links(spark.createDataFrame([(s,) for s in set(signed)], "fp long"), tile)
-    assert found.count() <= 20 * len(set(signed))
+    found = simhash.links(spark.createDataFrame([(s,) for s in set(signed)], "fp long"), tile, sample)
+    assert found.count() <= (20 if tile > 1000 else 2000) * len(set(signed))
     roots = {r.node: r.root for r in graph.components(found).collect()}
     got = {}
     for i, s in enumerate(signed):
@@ -82,6 +82,37 @@ def test_links_of_chains_and_crowds(spark, tile):
     assert sorted(got.values()) == sorted(want.values())
 
 
+def test_a_bucket_of_many_tiles(spark):
+    """Ten times TILE members that share 40 bits: they come out as four rows each, not as pairs of tiles."""
+    rng = np.random.default_rng(5)
+    high = np.uint64(0xABCDE12345) << np.uint64(24)
+    prints = np.unique(high | rng.integers(0, 1 << 22, 10 * 1024, dtype=np.uint64))
+    tile = 1024
+    run = simhash._linker(tile)
+    mask = np.int64(-(1 << 24))
+    batches = (simhash.pa.RecordBatch.from_pydict({"g": np.zeros(len(p), np.int64), "m": np.full(len(p), mask), "x": p.view(np.int64)}) for p in np.array_split(prints, 9))
+    out = list(run(batches))
+    assert max(b.num_rows for b in out) <= len(prints) and sum(b.num_rows for b in out) == 4 * len(prints)
+    found = simhash.links(spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long"), tile)
+    roots = {r.node: r.root for r in graph.components(found).collect()}
+    want = brute_components(prints.tolist())
+    got = {}
+    for i, p in enumerate(prints.view(np.int64).tolist()):
+        got.setdefault(roots.get(p, p), []).append(i)
+    classes = {}
+    for i, c in enumerate(want):
+        classes.setdefault(c, []).append(i)
+    assert sorted(got.values()) == sorted(classes.values())
+
+
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    rows = [(5, "alone among all of these texts", "x"), (5, "a b c", "y"), (3, "a b c", "z"), (None, "a b c", "q"), (None, "only without an id", "r"), (3, "a b c", "again"), (9, None, ""), (8, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    left = sorted((tuple(r) for r in simhash.keep_first(docs).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[5], rows[4], rows[7]], key=str)
+    assert simhash.keep_first(docs.limit(0)).collect() == []
+
+
 def test_edge_rows(spark):
     schema = "doc_id long, text string, fingerprint string, component_id long, fp string"
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (5, "one two"), (None, "one two"), (None, "alone here"), (9, "É é"), (8, "é é")]
