@@ -4,7 +4,8 @@ A text is cut into lines and a line into clauses, at the marks that end them, so
 units of a shared passage come out alike wherever in a line it stands. Units are
 normalised (A-Z lowered, white space as one blank, closing marks dropped) and hashed. A
 grouped aggregation finds the first document of each digest that occurs twice or more, and
-a join on the digest marks the later occurrences. Common short clauses repeat by chance, so
+a join on the digest marks the later occurrences; the commonest digests are broadcast, so
+that a clause of every document isn't one task's work. Common short clauses repeat by chance, so
 what is removed is a run of marked units of at least RUN_WORDS words, or marked whole lines
 of at least LINE_WORDS words.
 """
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.names import fresh
+from plumbline.llm.names import fresh, join_counted, text_mark
 from plumbline.shared import durable
 
 #: Words of a run, and of whole lines, from which on it is removed.
@@ -30,7 +31,6 @@ _CUT = re.compile(rf"[^\n{_MARKS}]*[\n{_MARKS}]+|[^\n{_MARKS}]+")
 #: Letters of scripts that put no blanks between words (Thai, Lao, Burmese, Khmer, kana, Han), and how many count as a word.
 _UNSPACED, UNSPACED_WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"), 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_MOST_WORDS = (1 << 14) - 1
 _SPANS = "array<struct<start:int,end:int,n_words:int,first_doc_id:long>>"
 
 
@@ -62,7 +62,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             raw = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
             columns = [
-                pa.array(raw[:, 0].view(np.int64)), pa.array((raw[:, 1] & 0x7FFFFFFF).astype(np.int32)), pa.array(docs, pa.int64()), pa.array(marks, pa.int32()),
+                pa.array(raw[:, 0].view(np.int64)), pa.array((raw[:, 1] & 0x7FFFFFFF).astype(np.int32)), pa.array(docs, pa.int64()), pa.array(marks, pa.int64()),
                 pa.array(local, pa.bool_()), pa.array(meta, pa.int64()), pa.array(place, pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(columns, names)
@@ -80,7 +80,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     docs.append(doc)
                     marks.append(mark)
                     local.append(digest in seen)
-                    meta.append(n << 16 | min(words, _MOST_WORDS) << 2 | begins << 1 | ends)
+                    meta.append(n << 34 | words << 2 | begins << 1 | ends)
                     place.append(at << 32 | end)
                     seen.add(digest)
                     n, begins = n + 1, ends
@@ -126,18 +126,13 @@ def _runs(least_run: int, least_line: int):
             out = []
             for row in batch.column("found").to_pylist():
                 rows = sorted((u["meta"], u["place"], u["first_doc_id"]) for u in row)
-                out.append(spans([(m >> 16, m >> 2 & _MOST_WORDS, m >> 1 & 1, m & 1, p >> 32, p & 0xFFFFFFFF, f) for m, p, f in rows]))
+                out.append(spans([(m >> 34, m >> 2 & 0xFFFFFFFF, m >> 1 & 1, m & 1, p >> 32, p & 0xFFFFFFFF, f) for m, p, f in rows]))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("first_doc_id", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(out, kind)], ["doc_id", "mark", "spans"])
 
     return run_
 
 
-def _mark(docs: DataFrame) -> Column:
-    """A digest that tells texts of one doc_id apart."""
-    return F.pmod(F.xxhash64(docs["text"]), F.lit(1 << 30)).cast("int")
-
-
 def repeated_spans(docs: DataFrame, least_run: int = RUN_WORDS, least_line: int = LINE_WORDS) -> DataFrame:
     """(doc_id, mark, spans) of the documents that repeat earlier text; offsets count code points of the original text.
 
@@ -146,14 +141,13 @@ def repeated_spans(docs: DataFrame, least_run: int = RUN_WORDS, least_line: int
     loses what another has. Rows without a doc_id have no rank: they are neither kept nor
     removed against. Null and empty texts have no units. An empty table gives no rows.
     """
-    schema = "h long, k int, doc_id long, mark int, local boolean, meta long, place long"
-    texts = docs.select(F.col("doc_id").cast("long"), _mark(docs).alias("mark"), "text").filter("doc_id is not null and text is not null")
+    schema = "h long, k int, doc_id long, mark long, local boolean, meta long, place long"
+    texts = docs.select(F.col("doc_id").cast("long"), text_mark(docs).alias("mark"), "text").filter("doc_id is not null and text is not null")
     found = texts.mapInArrow(_unit_rows, schema)
-    # written, so that both sides of the join come from exchanges of their own and a hot digest's partition can be split
-    firsts = durable(found.groupBy("h", "k").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    later = found.join(firsts, ["h", "k"]).filter("local or doc_id > first_doc_id")
+    firsts = durable(found.groupBy("h", "k").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_counted(found, firsts, "h", "k", F.xxhash64("doc_id", "place")).filter("local or doc_id > first_doc_id")
     runs = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("meta", "place", "first_doc_id")).alias("found"))
-    return runs.mapInArrow(_runs(least_run, least_line), f"doc_id long, mark int, spans {_SPANS}").filter(F.size("spans") > 0)
+    return runs.mapInArrow(_runs(least_run, least_line), f"doc_id long, mark long, spans {_SPANS}").filter(F.size("spans") > 0)
 
 
 def removed_spans(docs: DataFrame, **limits) -> DataFrame:
@@ -187,7 +181,7 @@ def remove_repeats(docs: DataFrame, **limits) -> DataFrame:
     """
     doc, mark, spans = fresh(docs, "span_doc", "span_mark", "spans")
     found = repeated_spans(docs, **limits).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(spans))
-    same = (docs["doc_id"] == found[doc]) & (_mark(docs) == found[mark])
+    same = (docs["doc_id"] == found[doc]) & (text_mark(docs) == found[mark])
     rows = docs.join(found, same, "left").drop(doc, mark)
     out = rows.mapInArrow(_without(spans), docs.schema)
     if "n_chars" in docs.columns:

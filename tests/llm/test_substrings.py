@@ -1,6 +1,7 @@
 import random
 
-from plumbline.llm import queries, substrings
+from plumbline.llm import names, queries, substrings
+from tests.llm.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,17 +20,21 @@ def brute(rows, least_run=substrings.RUN_WORDS, least_line=substrings.LINE_WORDS
                 j += 1
             cuts.append((i, j))
             i = j
-        marked = []
+        marked, fresh_line = [], True
         for a, b in cuts:
             low = "".join(c.lower() if c.isascii() else c for c in text[a:b])
             form = b" ".join(low.encode().split()).decode()
             n = len(form.split(" ")) if form else 0
             form = form.rstrip(".!?,;:")
-            whole = a == 0 or "\n" in text[len(text[:a].rstrip(terms)) : a]
             ends = "\n" in text[a:b] or b == len(text)
-            marked.append((a, b, n, whole, ends, seen[form] if form in seen else None) if form else (a, b, 0, whole, ends, None))
             if form:
+                marked.append([a, b, n, fresh_line, ends, seen.get(form)])
                 seen.setdefault(form, doc)
+                fresh_line = ends
+            elif ends:  # a stretch without words ends the line of the words before it
+                fresh_line = True
+                if marked:
+                    marked[-1][4] = True
         runs, run = [], []
         for unit in [*marked, (0, 0, 0, 0, 0, None)]:
             if unit[5] is None:
@@ -111,6 +116,28 @@ def test_units_without_words_neither_cut_nor_hide_line_ends(spark):
             assert removed.startswith(lines[0]) and removed.rstrip(" \t\r\n.!").endswith(lines[0 if doc == 3 else -1])
 
 
+def test_sql_and_brute_force_on_odd_texts(spark, tmp_path):
+    rng = random.Random(6)
+    parts = ["the same words stand here again", "alpha beta gamma delta epsilon zeta", "one two", " ", ".", " . . ", "\r\n", "\n", ", ", "!\n", "漢字。", "かな、", "\n\n", "ÀÉ ö", "AbC dEf"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    (part,) = (tmp_path / "t").glob("part-*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    assert compare(substrings.removed_spans(docs), queries.OP4_SQL, tmp_path) > 100
+    plain = [(i, t) for i, t in rows if t.isascii()]
+    assert sorted(tuple(r) for r in substrings.removed_spans(spark.createDataFrame(plain, docs.schema)).collect()) == brute(plain)
+
+
+def test_a_very_long_unit_and_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(names, "HOT_KEYS", 2)
+    unit = " ".join(f"w{i % 977}" for i in range(20_000))
+    hot = "this clause is in each and every one of all these very many documents of this table, "
+    rows = [(0, unit), (1, unit), *((i, f"{hot}\nown{i} words") for i in range(2, 3000))]
+    got = sorted(tuple(r) for r in substrings.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows) and got[0] == (1, 0, len(unit), 20_000, 0) and len(got) == 2998
+
+
 def test_scripts_without_blanks(spark):
     rng = random.Random(4)
     for low, high, mark in ((0x4E00, 0x9FA5, "。"), (0x3041, 0x3096, "、"), (0x0E01, 0x0E2E, "\n")):
