@@ -25,7 +25,7 @@ from plumbline.shared import durable
 
 #: Labelled rows of each class that the models are fitted on, at most.
 SAMPLE_ROWS = 1500
-#: Tokens that the chain's weights are fitted on, at most, in whole documents.
+#: Tokens that the chain's weights are fitted on, about, in whole documents; no document of more is among them.
 SAMPLE_TOKENS = 250_000
 #: Entries of the lexicon, at most; toxic sample documents that an entry occurs in, at least.
 LEXICON, SUPPORT = 50_000, 3
@@ -198,7 +198,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _binned(model: Model):
-    """(toxic, bins) of each text."""
+    """(toxic, bins, n, mark) of each text: its tokens' bins, their number and a digest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +206,23 @@ def _binned(model: Model):
                 _, _, rows, hashes = token_features(data, offsets)
                 cuts = np.searchsorted(rows, np.arange(1, len(offsets) - 1))
                 parts = [b.tobytes() for b in np.split(model.bins(hashes), cuts)]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(row, len(parts)), pa.array(parts, pa.binary())], ["toxic", "bins"])
+                marks, sizes = [zlib.crc32(p) for p in parts], [len(p) for p in parts]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(row, len(parts)), pa.array(parts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())], ["toxic", "bins", "n", "mark"])
+
+    return run
+
+
+def _summarised(model: Model):
+    """(toxic, features) of each text from its tokens' bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for raw in batch.column("bins").to_pylist():
+                bins = np.frombuffer(raw, np.uint8)
+                rows = np.zeros(len(bins), np.int64)
+                found.append(document_features(marginals(model, bins, rows), rows, 1)[0].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "features"])
 
     return run
 
@@ -244,20 +260,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = np.argsort(keys)
     model = Model(keys[order], entries["odds"].to_numpy()[order])
 
-    binned = texts.mapInArrow(_binned(model), "toxic int, bins binary").toArrow().to_pydict()
-    parts = sorted(zip(binned["bins"], binned["toxic"], strict=True), key=lambda p: (zlib.crc32(p[0]), p))
-    total = np.cumsum([len(b) for b, _ in parts])
-    some = parts[: max(1, int(np.searchsorted(total, SAMPLE_TOKENS)))]
-
-    def tokens(of: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(b for b, _ in of), np.uint8), np.repeat(np.arange(len(of)), [len(b) for b, _ in of])
-
-    bins, rows = tokens(some)
+    binned = durable(texts.mapInArrow(_binned(model), "toxic int, bins binary, n long, mark long"))
+    # whole texts in order of a digest, up to SAMPLE_TOKENS; a longer text isn't in the chain's sample
+    sizes_ = binned.filter(F.col("n") <= SAMPLE_TOKENS).select("mark", "n").orderBy("mark", "n").collect()  # at most 2 * SAMPLE_ROWS rows
+    total = np.cumsum([r["n"] for r in sizes_])
+    last = sizes_[max(0, int(np.searchsorted(total, SAMPLE_TOKENS)) - 1)]["mark"] if sizes_ else -1
+    some = binned.filter((F.col("n") <= SAMPLE_TOKENS) & (F.col("mark") <= last)).select("bins", "toxic").orderBy("mark", "bins", "toxic").collect()
+    bins = np.frombuffer(b"".join(r["bins"] for r in some), np.uint8)
+    rows = np.repeat(np.arange(len(some)), [len(r["bins"]) for r in some])
     if len(bins):
-        toxic = (np.array([t for _, t in some])[rows] > 0) & (bins >= np.digitize(TOXIC_ODDS, EDGES))
+        toxic = (np.array([r["toxic"] for r in some])[rows] > 0) & (bins >= np.digitize(TOXIC_ODDS, EDGES))
         model = fit_chain(model, bins, rows, toxic)
-    bins, rows = tokens(parts)
-    x = document_features(marginals(model, bins, rows), rows, len(parts))
+    parts = sorted((tuple(r["features"]), r["toxic"]) for r in binned.mapInArrow(_summarised(model), "toxic int, features array<double>").collect())
+    x = np.array([f for f, _ in parts])
     y = np.array([t for _, t in parts], float)
     weight = np.where(y > 0, sizes[1] / n[1], sizes[0] / n[0])
     model.head = fit_head(x, y, weight * len(y) / weight.sum())
