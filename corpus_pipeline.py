@@ -1,62 +1,5 @@
-"""The corpus pipeline: documents in, digests of their token ids out.
+"""The corpus pipeline over ``documents``: the stages, their SQL and ``run`` of plumbline.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All
-but the last return the columns of ``documents``.
-"""
+from plumbline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from plumbline.llm import bpe, decontaminate, langid, simhash, substrings
-from plumbline.llm.names import drop_ids
-from plumbline.shared import new_path
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified stay."""
-    return langid.keep_identified(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the lowest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    return drop_ids(docs, found.filter("component_id <> doc_id").select("doc_id"))
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the passages and lines that an earlier document has."""
-    return substrings.remove_repeats(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document's byte-level BPE ids."""
-    return bpe.encode_digests(docs)
-
-
-STAGES = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("line_dedup", line_dedup),
-    ("decontamination", decontamination),
-    ("tokens", tokens),
-]
-#: The stages learn, link and encode in ways that SQL can't express; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            path = new_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

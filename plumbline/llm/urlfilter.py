@@ -3,8 +3,8 @@
 A block list is a log of dated entries that add or remove a domain. Each domain's entries
 become validity intervals. Captures are first reduced to distinct (host, day); a host's
 parent domains and the intervals' time buckets turn "the entry active at fetch time" into an
-equi-join with a range check among the few intervals of one domain and bucket, and the
-verdicts go back to all captures by (host, day). Neither a hot host nor a long-lived entry
+equi-join with a range check among the few intervals of one domain and bucket; a domain
+above a great many hosts is joined by broadcast. The verdicts go back to all captures by (host, day). Neither a hot host nor a long-lived entry
 makes pairs of captures and entries.
 """
 
@@ -17,11 +17,14 @@ from plumbline.shared import durable
 
 #: Days of a time bucket.
 BUCKET = 32
+#: Pairs of domain and bucket that are joined by broadcast, at most: each has more than one part in so many of all keys. A pair has at most half as many intervals as days.
+HOT_KEYS = 4096
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL, or null."""
-    host = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    """The lower-case host of a URL without a dot at its end, an IPv6 address in its brackets; or null."""
+    host = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)", 1))
+    host = F.regexp_replace(host, r"\.$", "")
     return F.when(host != "", host)
 
 
@@ -46,6 +49,16 @@ def parent_domains(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(".", F.slice(labels, i, n)))
 
 
+def _joined(keys: DataFrame, listed: DataFrame) -> DataFrame:
+    """``keys`` with the rows of ``listed`` of their domain and bucket; pairs that very many keys have are joined by broadcast."""
+    on = ["domain", "bucket"]
+    sizes = durable(keys.join(listed.select(*on).distinct(), on, "left_semi").groupBy(*on).agg(F.count("*").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.filter(F.col("n") > max(1000, total // HOT_KEYS)).select(*on)
+    cold = keys.join(F.broadcast(hot), on, "left_anti").join(listed, on)
+    return cold.unionByName(keys.join(F.broadcast(listed.join(F.broadcast(hot), on, "left_semi")), on).select(*cold.columns))
+
+
 def apply(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(capture_id, host, fetched, blocked, n_entries, rule, listed_since) of each capture (capture_id, url, fetched).
 
@@ -66,7 +79,8 @@ def apply(captures: DataFrame, entries: DataFrame) -> DataFrame:
         begin, end = F.greatest("valid_from", F.lit(first)), F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(last)), F.lit(last))
         spread = valid.filter(begin <= end).select("*", F.explode(F.sequence(bucket(begin), bucket(end))).alias("bucket"))
         keys = asked.select("host", "fetched", bucket(F.col("fetched")).alias("bucket"), F.explode(parent_domains(F.col("host"))).alias("domain"))
-        active = keys.join(spread, ["domain", "bucket"]).filter("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
+        spread = durable(spread)
+        active = _joined(keys, spread).filter("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
         longest = F.max(F.struct(F.length("domain"), "domain", "valid_from"))
         listed = active.groupBy("host", "fetched").agg(F.count("*").alias("n_entries"), longest.alias("best"))
         listed = listed.select("host", "fetched", "n_entries", F.col("best.domain").alias("rule"), F.col("best.valid_from").alias("listed_since"))

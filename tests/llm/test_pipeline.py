@@ -57,6 +57,20 @@ def test_run_equals_its_stages(spark):
     assert sorted(docs.collect()) == sorted(queries.queries()["pipeline"](spark, SF).collect())
 
 
+def test_one_text_of_an_id_goes_without_the_others(spark):
+    rows = {(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    texts = sorted(t for _, t in rows if len(t) > 500)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    more = spark.createDataFrame([(5000, texts[0], "en", "s", 1), (5000, texts[1], "en", "s", 1), (4999, texts[1] + " ", "en", "s", 1), (6000, item, "en", "s", 1), (6000, texts[2], "en", "s", 1), (7000, "?", "en", "s", 1), (7000, texts[3], "en", "s", 1)], docs.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name, *ids: sorted((r.doc_id, r.text) for r in stages[name](spark, more, SF).collect() if r.doc_id in ids)
+    assert kept("near_dedup", 4999, 5000) == [(4999, texts[1] + " "), (5000, texts[0])]
+    assert kept("decontamination", 6000) == [(6000, texts[2])]
+    whole = docs.unionByName(more)
+    assert sorted(r.text for r in stages["language"](spark, whole, SF).collect() if r.doc_id == 7000) == [texts[3]]
+
+
 def test_documents_with_nulls_and_more_columns(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars int, dropped_id long, spans string, fp int, row string"
     rows = [(1, "the words of a text that is long enough for the stages"), (2, None), (3, ""), (None, "of the"), (4, "x" * 5000), (4, "the of and with")]
