@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.shared import durable
 
 #: Characters of a chunk, and of what it shares with the next one.
-CHUNK, OVERLAP = 1 << 12, 1 << 8
+CHUNK, OVERLAP = 1 << 13, 1 << 8
 #: Characters of a text whose chunks stay in one task, at most; and of a chunk, and its overlap, of a longer one.
 LONG, FAR_CHUNK, FAR_OVERLAP = 1 << 20, 1 << 16, 1 << 10
 #: A pre-token's end is certain if so many characters of the chunk follow it: the longest alternative of fixed length has three.
