@@ -31,6 +31,52 @@ def levels(df: DataFrame, columns: Named) -> DataFrame:
     return rows.groupBy("column_name", "value").agg(F.count("*").alias("n"))
 
 
+#: Bytes of a text up to which it is counted as it is; of a longer one, its beginning and a digest of 128 bits.
+SHORT = 96
+
+
+def short_form(value: Column) -> Column:
+    digest = F.concat(F.lpad(F.hex(F.xxhash64(value)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), value)), 16, "0"))
+    return F.when(F.octet_length(value) <= SHORT, value).otherwise(F.concat(F.substring(value, 1, 20), F.lit("\0"), digest))
+
+
+def _rows(df: DataFrame, columns: Named) -> DataFrame:
+    parts = [F.struct(F.lit(i).alias("c"), x.alias("v")) for i, x in enumerate(columns.values())]
+    return df.select(F.explode(F.array(*parts)).alias("r")).select("r.c", "r.v").filter("v is not null")
+
+
+def profile_rows(df: DataFrame, columns: Named, k: int) -> list[dict]:
+    """Of each column what ``scan``, ``level_facts``, ``variants`` and the 90 % quantile of lengths say, and its ``top`` k values with their numbers, in one job.
+
+    Long texts are counted by their digests, so that they aren't shuffled; those among the
+    commonest are looked up in another job. Of equally common values the lesser text comes
+    first, of long ones that begin alike the lesser digest.
+    """
+    if not columns:
+        return []
+    names = F.array(*[F.lit(c) for c in columns])
+    forms = _rows(df, columns).select("c", short_form(F.col("v")).alias("value"), F.xxhash64(F.lower("v")).alias("low"), F.xxhash64(stripped(F.col("v"))).alias("trim"))
+    counted = forms.groupBy("c", "value", "low", "trim").agg(F.count("*").alias("n"))
+    facts = counted.groupBy("c").agg(
+        F.count("*").alias("unique"), F.count_if(F.col("n") == 1).alias("levels_once"), F.count_distinct("low").alias("case_variants"), F.count_distinct("trim").alias("trim_variants"),
+    )
+    order = Window.partitionBy("c").orderBy(F.desc("n"), F.asc("value"))
+    top = counted.select("c", "value", "n").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    tops = top.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
+    own = facts.join(tops, "c").withColumn("column_name", F.get(names, F.col("c")))
+    lengths_ = length_quantile(lengths(df, columns)).withColumnRenamed("value", "len_p90")
+    found = scan(df, columns).join(own, "column_name", "left").join(lengths_, "column_name", "left").collect()  # a row for each column
+    rows = [r.asDict() | {"top": [(t["value"], t["n"]) for t in r["top"] or []]} for r in found]
+    long = [(r["c"], value) for r in rows for value, _ in r["top"] if "\0" in value]
+    if long:
+        asked = F.broadcast(df.sparkSession.createDataFrame(long, "c int, short string"))  # k for each column
+        texts = _rows(df, columns).withColumn("short", short_form(F.col("v"))).join(asked, ["c", "short"]).groupBy("c", "short").agg(F.min("v").alias("v")).collect()
+        whole = {(t["c"], t["short"]): t["v"] for t in texts}
+        for r in rows:
+            r["top"] = [(whole.get((r["c"], value), value), n) for value, n in r["top"]]
+    return rows
+
+
 def scan(df: DataFrame, columns: Named) -> DataFrame:
     """(column_name, count, missing, avg_len, empty_zero, mem_bytes): what one scan gives."""
     if not columns:

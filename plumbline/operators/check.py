@@ -25,9 +25,9 @@ _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 def seconds(value: Any) -> float:
     """A duration in seconds, or as a number and one of s, m, h, d and w."""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and value >= 0:
         return float(value)
-    found = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([smhdw])?\s*", str(value))
+    found = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([smhdw])?\s*", str(value).lower()) if isinstance(value, str) else None
     if not found:
         raise ConfigurationError(f"{value!r} is no duration; write 90m, 26h, 3d, 2w, 45s or seconds")
     return float(found[1]) * _UNITS[found[2] or "s"]
@@ -53,6 +53,16 @@ class Thresholds:
     require_max_ts_advances: bool = False
 
     def __post_init__(self) -> None:
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if f.type == "bool":
+                if not isinstance(value, bool):
+                    raise ConfigurationError(f"{f.name} is true or false, not {value!r}")
+            elif f.name != "max_age" and value is not None:
+                number = isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value)
+                least = 1 if f.name == "max_std_ratio" else 0
+                if not number or value < least or f.name == "min_rows" and value != int(value):
+                    raise ConfigurationError(f"{f.name} is a number from {least} on, not {value!r}")
         if self.max_age is not None:
             object.__setattr__(self, "max_age", seconds(self.max_age))
 
@@ -66,11 +76,15 @@ class Thresholds:
     @classmethod
     def from_file(cls, path: str | Path) -> Thresholds:
         """From JSON or TOML; a [tool.<name>.check] or [thresholds] table is taken if there is one."""
-        text = Path(path).read_text()
+        readers = {".toml": tomllib.loads, ".json": json.loads}
+        if Path(path).suffix.lower() not in readers:
+            raise ConfigurationError(f"thresholds are a .json or .toml file, not {path}")
         try:
-            raw = tomllib.loads(text) if str(path).endswith(".toml") else json.loads(text)
-        except ValueError as e:
+            raw = readers[Path(path).suffix.lower()](Path(path).read_text())
+        except (OSError, ValueError) as e:
             raise ConfigurationError(f"{path} can't be read: {e}") from e
+        if not isinstance(raw, dict):
+            raise ConfigurationError(f"{path} holds no table of thresholds")
         for tool in raw.get("tool", {}).values() if isinstance(raw.get("tool"), dict) else ():
             if isinstance(tool, dict) and "check" in tool:
                 raw = tool["check"]
@@ -125,22 +139,29 @@ class Baseline:
     source: str | None = None
 
 
+def envelope(summary: Mapping[str, Any], source: str | None = None) -> dict[str, Any]:
+    """Statistics as they are stored."""
+    return {"baseline_version": BASELINE_VERSION, "created_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "version": __version__, "source": source, "summary": summary}
+
+
 def write_baseline(path: str | Path, summary: Mapping[str, Any], source: str | None = None) -> None:
-    envelope = {"baseline_version": BASELINE_VERSION, "created_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "version": __version__, "source": source, "summary": summary}
-    Path(path).write_text(json.dumps(envelope, default=str, indent=1))
+    Path(path).write_text(json.dumps(envelope(summary, source), default=str, indent=1))
 
 
-def read_baseline(path: str | Path) -> Baseline:
+def parse_baseline(raw: Mapping[str, Any], name: str | Path) -> Baseline:
     """A stored baseline; another version of the envelope or of the statistics is refused."""
+    for key, found, wanted in (("baseline_version", raw.get("baseline_version"), BASELINE_VERSION), ("schema_version", raw.get("summary", {}).get("schema_version"), SCHEMA_VERSION)):
+        if found != wanted:
+            raise PlumblineError(f"{name} has {key} {found!r}; this version reads {wanted}")
+    return Baseline(raw["summary"], raw.get("created_at", ""), raw.get("version", ""), raw.get("source"))
+
+
+def read_baseline(path: str | Path) -> Baseline:
     try:
         raw = json.loads(Path(path).read_text())
     except (OSError, ValueError) as e:
         raise PlumblineError(f"the baseline {path} can't be read: {e}") from e
-    if raw.get("baseline_version") != BASELINE_VERSION:
-        raise PlumblineError(f"{path} has baseline_version {raw.get('baseline_version')!r}; this version reads {BASELINE_VERSION}")
-    if raw.get("summary", {}).get("schema_version") != SCHEMA_VERSION:
-        raise PlumblineError(f"{path} has schema_version {raw.get('summary', {}).get('schema_version')!r}; this version reads {SCHEMA_VERSION}")
-    return Baseline(raw["summary"], raw.get("created_at", ""), raw.get("version", ""), raw.get("source"))
+    return parse_baseline(raw, path)
 
 
 def _absolute(now: Mapping[str, Any], t: Thresholds, clock: float) -> Iterator[Finding]:

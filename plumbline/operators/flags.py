@@ -25,7 +25,7 @@ def numeric(stats: DataFrame) -> DataFrame:
     """(column_name, flag, severity, ratio) of the flags that are raised, over numeric statistics.
 
     Needs count, missing, inf, zeros, negatives, min, skew, kurtosis, jb_chi2, int_like,
-    unique, heap_pct, outliers_iqr and mode_n. ``ratio`` says how many times its limit a
+    unique, heap_pct, outliers_iqr and mode_n; mono_inc and mono_dec if there are. ``ratio`` says how many times its limit a
     measured value is.
     """
     n = F.col("count")
@@ -34,7 +34,9 @@ def numeric(stats: DataFrame) -> DataFrame:
     enough = n * QUASI > 1
     constant = enough & (F.col("unique") == 1)
     skewed = F.col("skew") >= SKEW
+    ordered = {f"monotonic_{k}": (_flag((n > 1) & F.col(c), "good"), F.lit(None)) for k, c in (("increasing", "mono_inc"), ("decreasing", "mono_dec")) if c in stats.columns}
     found = {
+        **ordered,
         "missing": (F.when(miss > MISSING_BAD, "bad").when(miss > 0, "warn"), miss / MISSING_BAD),
         "infinite": (_flag(F.col("inf") > 0, "bad"), F.lit(None)),
         "negatives": (F.when(neg > NEGATIVE_WARN, "warn").when(neg > 0, "info"), neg / NEGATIVE_WARN),
@@ -104,8 +106,8 @@ def _raised(stats: DataFrame, found: dict[str, tuple[Column, Column]]) -> DataFr
     return stats.select("column_name", F.inline(F.array(*items))).filter("severity is not null")
 
 
-#: Warnings that call for action; others of their severity only inform.
-ACTIONABLE = ("missing", "zero_inflated", "quasi_constant", "some_outliers", "dominant", "case_variants", "trim_variants", "empty_values", "high_cardinality", "imbalanced", "heavy_tailed")
+#: Warnings of a defect in the data, which call for action; the others tell of the shape of a distribution: fixed values.
+ACTIONABLE = ("missing", "zero_inflated", "constant", "quasi_constant", "imbalanced", "high_cardinality", "dominant", "many_rare", "case_variants", "trim_variants", "empty_values")
 
 
 def triage(raised: DataFrame, k: int = 10) -> DataFrame:
@@ -130,6 +132,12 @@ def fence_rows(df: DataFrame, x: Column, q1: float, q3: float, k: int = 12) -> D
     return top.select("value", "n", "side", "distance", band.alias("band"))
 
 
+def is_identifier(stats: dict) -> bool:
+    """``identifier`` of a column's finished statistics."""
+    rows, n = stats["count"] + stats["missing"], stats["count"]
+    return rows >= 100 and not stats["missing"] and bool(stats["int_like"]) and stats["unique_est"] >= 0.95 * n and bool(stats["mono_inc"] or stats["mono_dec"])
+
+
 def identifier(count: Column, missing: Column, int_like: Column, unique: Column, inc: Column, dec: Column) -> Column:
     """Whether a numeric column numbers its rows: at least 100 of them, none missing, whole numbers, 95 % different, in order either way."""
     return F.coalesce((count + missing >= 100) & (missing == 0) & int_like & (unique >= 0.95 * count) & (inc | dec), F.lit(False))

@@ -6,19 +6,22 @@ result of that scan (deviations, outliers, bins) is a second aggregate with lite
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import numbers as N
 from plumbline.operators import quantiles as Q
 from plumbline.plans.spread import kept, spread
+from plumbline.shared import durable, release
 
 #: Fences, the normal quantile of a 95 % interval, MAD's scale and limit, bins of a histogram, kept extremes.
 IQR_FENCE, Z95, MAD_SCALE, MAD_LIMIT, BINS, EXTREMES = 1.5, 1.96, 0.6745, 3.5, 25, 5
 #: Distinct values up to which a numeric column's frequent values are tracked: k levels, or k in at least this share of the levels.
 TOP_SHARE = 0.02
-#: Sorted distinct values that the granularity is read from, at most.
-GRANULARITY_VALUES = 20_000
 
 Named = dict[str, Column]
 
@@ -62,47 +65,72 @@ def derived(n: Column, mean: Column, std: Column, skew: Column, kurtosis: Column
     }
 
 
+#: What a column of an empty table has.
+_OF_NOTHING = {"count": 0, "missing": 0, "inf": 0, "zeros": 0, "negatives": 0, "int_like": True, "mem_bytes": 0}
+
+
 def scan(df: DataFrame, columns: Named) -> DataFrame:
-    """A row for each of ``columns`` (name: double expression) with the statistics of one scan; one pass whatever their number."""
+    """A row for each of ``columns`` (name: double expression) with the statistics of one scan.
+
+    Columns are unpivoted, so that the generated code is that of one column however many
+    there are; sums are partial before the shuffle, which is a row for each column and task.
+    """
+    spark = df.sparkSession
     if not columns:
-        return df.sparkSession.createDataFrame([], "column_name string")
-    raw = df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])
-    parts = []
-    for i in range(len(columns)):
-        x = F.col(f"x{i}")
-        parts += [N.finite(x).alias(f"v{i}"), N.is_missing(x).alias(f"m{i}"), N.is_infinite(x).alias(f"i{i}"), N.ten_billionths(N.finite(x)).alias(f"t{i}")]
-    inputs = spread(raw.select(*parts))
-    wide = {name: scan_aggregates(F.col(f"v{i}"), F.col(f"m{i}"), F.col(f"i{i}"), N.is_heaped(F.col(f"v{i}"), F.col(f"t{i}"))) for i, name in enumerate(columns)}
-    flat = inputs.agg(*[a.alias(f"{i}_{k}") for i, aggregates in enumerate(wide.values()) for k, a in aggregates.items()])
-    keys = list(next(iter(wide.values())))
-    rows = [F.struct(F.lit(name).alias("column_name"), *[F.col(f"{i}_{k}").alias(k) for k in keys]) for i, name in enumerate(wide)]
-    long = flat.select(F.inline(F.array(*rows)))
-    return long.select("*", *[c.alias(k) for k, c in derived(*[F.col(k) for k in ("count", "mean", "std", "skew", "kurtosis")]).items()])
+        return spark.createDataFrame([], "column_name string")
+    raw = spread(df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())]))
+    parts = [F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("x")) for i in range(len(columns))]
+    long = raw.select(F.explode(F.array(*parts)).alias("r")).select("r.c", "r.x")
+    x = F.col("x")
+    v = N.finite(x)
+    inputs = long.select("c", v.alias("v"), N.is_missing(x).alias("m"), N.is_infinite(x).alias("i"), N.ten_billionths(v).alias("t"))
+    aggregates = scan_aggregates(F.col("v"), F.col("m"), F.col("i"), N.is_heaped(F.col("v"), F.col("t")))
+    found = inputs.groupBy("c").agg(*[a.alias(k) for k, a in aggregates.items()])
+    names = spark.createDataFrame(list(enumerate(columns)), "k int, column_name string")
+    kept_ = [F.coalesce(k, F.lit(_OF_NOTHING[k])).alias(k) if k in _OF_NOTHING else F.col(k) for k in aggregates]
+    rows = names.join(F.broadcast(found), F.col("k") == F.col("c"), "left").select("column_name", *kept_)  # a row for each column
+    return rows.select("*", *[c.alias(k) for k, c in derived(*[F.col(k) for k in ("count", "mean", "std", "skew", "kurtosis")]).items()])
 
 
 QUARTILES = (0.25, 0.5, 0.75)
 TAILS = (0.01, 0.05, 0.10, 0.90, 0.95, 0.99)
 
 
-def deviations(df: DataFrame, columns: Named, quartiles: dict[str, tuple[float | None, ...]]) -> DataFrame:
-    """(column_name, mad, outliers_iqr, outliers_mod_zscore) from the quartiles (q1, median, q3): exact counts over all rows."""
-    spark = df.sparkSession
-    known = {name: q for name, q in quartiles.items() if q[1] is not None}
-    schema = "column_name string, mad double, outliers_iqr long, outliers_mod_zscore long"
-    if not known:
-        return spark.createDataFrame([], schema)
-    inputs = df.select(*[N.finite(columns[name]).alias(f"c{i}") for i, name in enumerate(known)])
-    with kept(inputs) as held:
-        gaps = {name: F.abs(F.col(f"c{i}") - F.lit(q[1])) for i, (name, q) in enumerate(known.items())}
-        mads = {name: v[0.5] for name, v in Q.quantiles(held, gaps, (0.5,)).items()}
-        counts = []
-        for i, (name, (q1, med, q3)) in enumerate(known.items()):
-            v, width = F.col(f"c{i}"), IQR_FENCE * (q3 - q1)
-            counts.append(F.count_if((v < q1 - width) | (v > q3 + width)).alias(f"{i}_iqr"))
-            score = F.abs(MAD_SCALE * (v - med) / mads[name]) > MAD_LIMIT if mads[name] else F.lit(False)
-            counts.append(F.count_if(score).alias(f"{i}_mad"))
-        found = held.agg(*counts).first()
-    return spark.createDataFrame([(name, float(mads[name]), found[f"{i}_iqr"], found[f"{i}_mad"]) for i, name in enumerate(known)], schema)
+LIMITS = Q.Limits(IQR_FENCE, MAD_SCALE, MAD_LIMIT)
+
+
+def deviations(df: DataFrame, columns: Named, quartiles: dict[str, tuple[float | None, ...]] | None = None, exact: bool = True) -> DataFrame:
+    """(column_name, q1, median, q3, mad, outliers_iqr, outliers_mod_zscore): exact over all rows, or read from sketches. Columns without values have no row."""
+    known = {name: x for name, x in columns.items() if quartiles is None or quartiles[name][1] is not None}
+    found = Q.deviations(df, known, LIMITS, quartiles, exact) if known else {}
+    rows = [(name, *[float(d[k]) for k in ("q1", "median", "q3", "mad")], int(d["iqr_outliers"]), int(d["mad_outliers"])) for name, d in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column_name string, q1 double, median double, q3 double, mad double, outliers_iqr long, outliers_mod_zscore long")
+
+
+def level_rows(df: DataFrame, columns: Named) -> DataFrame:
+    """(c, v, n) of each distinct finite value of each column, by its number."""
+    inputs = df.select(*[N.finite(x).alias(f"v{i}") for i, x in enumerate(columns.values())])
+    parts = [F.struct(F.lit(i).alias("c"), (F.col(f"v{i}") + 0.0).alias("v")) for i in range(len(columns))]
+    rows = inputs.select(F.explode(F.array(*parts)).alias("r")).select("r.c", "r.v").filter("v is not null")
+    return rows.groupBy("c", "v").agg(F.count("*").alias("n"))
+
+
+def level_counts(df: DataFrame, columns: Named) -> DataFrame:
+    """(column_name, unique, mode_n): distinct finite values and the rows of the commonest, in one job whatever the number of columns."""
+    names = F.array(*[F.lit(c) for c in columns])
+    return level_rows(df, columns).groupBy("c").agg(F.count("*").alias("unique"), F.max("n").alias("mode_n")).select(F.get(names, F.col("c")).alias("column_name"), "unique", "mode_n")
+
+
+def facts(df: DataFrame, columns: Named) -> DataFrame:
+    """A row for each column with the statistics of ``scan``, ``level_counts`` and ``deviations``; a small input is read once."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string")
+    raw = df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])
+    with kept(raw) as held:
+        own = {name: F.col(f"x{i}") for i, name in enumerate(columns)}
+        parts = [scan(held, own), level_counts(held, own)]
+        parts = [held.sparkSession.createDataFrame(p.collect(), p.schema) for p in parts]  # a row for each column
+        return parts[0].join(parts[1], "column_name", "left").join(deviations(held, own), "column_name", "left")
 
 
 def bounds(df: DataFrame, columns: Named) -> dict[str, tuple[float | None, float | None]]:
@@ -155,24 +183,78 @@ def top_values_tracked(distinct: int, k: int) -> bool:
     return distinct <= k or k / distinct >= TOP_SHARE
 
 
-def granularity(df: DataFrame, x: Column) -> DataFrame:
-    """(gran_step, gran_decimals) of one column: the commonest distance of neighbouring distinct values, and the decimals that write it.
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted distinct values (c, v): how often each distance of neighbours occurs (c, d, n), and each column's first and last value here (c, part, first, last)."""
+    from pyspark import TaskContext
+
+    part, last, first, found = TaskContext.get().partitionId(), {}, {}, {}
+    for batch in batches:
+        c, v = batch.column("c").to_numpy(), batch.column("v").to_numpy()
+        for k in np.unique(c).tolist():
+            own = v[c == k]
+            first.setdefault(k, float(own[0]))
+            gaps = np.diff(np.concatenate([[last[k]], own]) if k in last else own)
+            last[k] = float(own[-1])
+            sizes, times = np.unique(gaps[gaps > 0], return_counts=True)
+            known = found.setdefault(k, [np.zeros(0), np.zeros(0, np.int64)])
+            known[0], known[1] = np.concatenate([known[0], sizes]), np.concatenate([known[1], times])
+    rows = []
+    for k, (sizes, times) in found.items():
+        merged, where = np.unique(sizes, return_inverse=True)
+        counts = np.bincount(where, times, len(merged)).astype(np.int64) if len(merged) else times
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(merged), k), pa.int32()), pa.array(merged, pa.float64()), pa.array(counts, pa.int64()), *[pa.nulls(len(merged), t) for t in (pa.int32(), pa.float64(), pa.float64())]], _GAP_NAMES
+        )
+        rows.append((k, part, first[k], last[k]))
+    nulls = [pa.nulls(len(rows), pa.float64()), pa.nulls(len(rows), pa.int64())]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *nulls, *[pa.array([r[i] for r in rows], t) for i, t in ((1, pa.int32()), (2, pa.float64()), (3, pa.float64()))]], _GAP_NAMES)
+
 
-    Read from the GRANULARITY_VALUES smallest distinct values. The distances fall into at
-    most 50 bins, and the step is the middle of the fullest one, the first of equals; if
-    they barely differ it is their median. Fewer than two values give nulls.
+_GAP_NAMES = ["c", "d", "n", "part", "first", "last"]
+
+
+def _decimals(step: float) -> int | None:
+    """The least power of ten, up to ten, that makes a step whole."""
+    return next((k for k in range(10) if abs(step * 10**k - round(step * 10**k)) <= 1e-10), 10)
+
+
+def granularity(df: DataFrame, columns: Named, sample: int | None = None) -> DataFrame:
+    """(column_name, gran_step, gran_decimals): the commonest distance of neighbouring distinct values, and the decimals that write it.
+
+    All distinct values are sorted, over range partitions, for all columns at once; with
+    ``sample`` about so many of each column, those of the lowest hash. The distances fall
+    into at most 50 bins, and the step is the middle of the fullest one, the first of
+    equals; if they barely differ it is the middle of them all. Fewer than two values give nulls.
     """
-    values = df.select(N.finite(x).alias("v")).filter("v is not null").distinct().orderBy("v").limit(GRANULARITY_VALUES)
-    gaps = values.select((F.lead("v").over(Window.orderBy("v")) - F.col("v")).alias("d")).filter("d > 0")  # over a bounded number of rows
-    facts = gaps.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.median("d").alias("mid"), F.count("*").alias("n"))
-    joined = gaps.crossJoin(F.broadcast(facts))  # one row
-    bins = F.least(F.lit(50), F.greatest(F.lit(1), F.col("n")))
-    flat = F.col("hi") - F.col("lo") <= F.abs(F.col("hi")) * 1e-9
-    at = F.when(flat, F.lit(0)).otherwise(F.least(F.floor((F.col("d") - F.col("lo")) / F.when(~flat, F.col("hi") - F.col("lo")) * bins), bins - 1))
-    mode = joined.groupBy(at.alias("at"), "lo", "hi", "mid", flat.alias("flat"), bins.alias("bins")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "at").limit(1)
-    step = F.when(F.col("flat"), F.col("mid")).otherwise(F.col("lo") + (F.col("at") + 0.5) * (F.col("hi") - F.col("lo")) / F.col("bins"))
-    best = mode.select(step.alias("gran_step"))
-    shift = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.abs(F.col("gran_step") * F.pow(F.lit(10.0), k) - F.rint(F.col("gran_step") * F.pow(F.lit(10.0), k))) < 1e-6)
-    found = best.select("gran_step", F.when(F.array_position(shift, True) > 0, F.array_position(shift, True) - 1).otherwise(10).cast("int").alias("gran_decimals"))
-    empty = df.sparkSession.range(1).select(F.lit(1).alias("one"))
-    return empty.join(found, F.lit(True), "left").select("gran_step", "gran_decimals")
+    spark, schema = df.sparkSession, "column_name string, gran_step double, gran_decimals int"
+    if not columns:
+        return spark.createDataFrame([], schema)
+    levels = level_rows(df, columns).select("c", "v")
+    if sample:
+        order = Window.partitionBy("c").orderBy(F.xxhash64("v"), "v")
+        share = levels.groupBy("c").agg(F.approx_count_distinct("v").alias("k"))
+        near = levels.join(F.broadcast(share), "c").filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= 2.0 * sample / F.col("k") * (1 << 30))
+        levels = near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample).select("c", "v")
+    found = durable(levels.repartitionByRange("c", "v").sortWithinPartitions("c", "v").mapInArrow(_gaps, "c int, d double, n long, part int, first double, last double"))
+    border = Window.partitionBy("c").orderBy("part")  # a row for each partition
+    jumps = found.filter("part is not null").select("c", (F.col("first") - F.lag("last").over(border)).alias("d"), F.lit(1).cast("long").alias("n")).filter("d > 0")
+    gaps = found.filter("part is null").select("c", "d", "n").unionByName(jumps)
+    spans = {r["c"]: r for r in gaps.groupBy("c").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.sum("n").alias("n")).collect()}  # a row for each column
+    steps = {}
+    at = F.lit(None).cast("int")
+    for c, r in spans.items():
+        bins = min(50, r["n"])
+        if r["hi"] - r["lo"] <= abs(r["hi"]) * 1e-9:
+            steps[c] = (r["lo"] + r["hi"]) / 2
+        else:
+            at = F.when(F.col("c") == c, F.least(F.floor((F.col("d") - r["lo"]) / (r["hi"] - r["lo"]) * bins), F.lit(bins - 1)).cast("int")).otherwise(at)
+    if len(steps) < len(spans):
+        tallies: dict[int, list[tuple[int, int]]] = {}
+        for r in gaps.groupBy("c", at.alias("at")).agg(F.sum("n").alias("n")).filter("at is not null").collect():  # at most 50 rows for each column
+            tallies.setdefault(r["c"], []).append((-r["n"], r["at"]))
+        for c, own in tallies.items():
+            lo, width = spans[c]["lo"], (spans[c]["hi"] - spans[c]["lo"]) / min(50, spans[c]["n"])
+            steps[c] = lo + (min(own)[1] + 0.5) * width
+    release(found)
+    rows = [(name, steps.get(i), _decimals(steps[i]) if i in steps else None) for i, name in enumerate(columns)]
+    return spark.createDataFrame(rows, schema)

@@ -22,18 +22,18 @@ def _unpivot(flat: DataFrame, names: list[str], columns: dict[str, str]) -> Data
     return flat.select(F.inline(F.array(*rows)))
 
 
-def distinct_sketches(df: DataFrame, columns: Named) -> DataFrame:
+def distinct_sketches(df: DataFrame, columns: Named, bits: int = HLL_BITS) -> DataFrame:
     """(column_name, count, hll): counts and HyperLogLog sketches, which merge by union."""
-    flat = df.agg(*[a for i, c in enumerate(columns.values()) for a in (F.count(c).alias(f"n{i}"), F.hll_sketch_agg(c.cast("string"), F.lit(HLL_BITS)).alias(f"h{i}"))])
+    flat = df.agg(*[a for i, c in enumerate(columns.values()) for a in (F.count(c).alias(f"n{i}"), F.hll_sketch_agg(c.cast("string"), F.lit(bits)).alias(f"h{i}"))])
     return _unpivot(flat, list(columns), {"count": "n", "hll": "h"})
 
 
-def distinct(df: DataFrame, columns: Named) -> DataFrame:
+def distinct(df: DataFrame, columns: Named, bits: int = HLL_BITS) -> DataFrame:
     """(column_name, unique, error): estimated distinct values, never above the count, and one standard error."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, unique long, error long")
     n = F.coalesce(F.least(F.hll_sketch_estimate("hll"), F.col("count")), F.lit(0))
-    return distinct_sketches(df, columns).select("column_name", n.alias("unique"), F.ceil(n * HLL_ERROR).alias("error"))
+    return distinct_sketches(df, columns, bits).select("column_name", n.alias("unique"), F.ceil(n * (1.04 / math.sqrt(1 << bits))).alias("error"))
 
 
 def quantile_sketches(df: DataFrame, columns: Named) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordered import ordered_summary
+from plumbline.operators.ordered import sorted_gaps
 
 #: What 64-bit nanoseconds can say, in microseconds; and hours of business.
 LEAST_MICROS, MOST_MICROS = -9_223_372_036_854_775, 9_223_372_036_854_775
@@ -84,10 +84,10 @@ def seasonal(tallies: DataFrame) -> DataFrame:
     return full.select("column_name", F.when(F.col("k") == 1, F.concat(F.lit("Peak in "), F.get(names, F.col("month") - 1))).otherwise("Multiple peaks detected").alias("seasonal_pattern"))
 
 
-def intervals(df: DataFrame, column: Column) -> DataFrame:
-    """(avg_interval_seconds, interval_std_seconds) of the gaps between sorted values; the deviation is of the population."""
-    rows = df.select(micros(column).alias("us")).filter("us is not null")
-    return ordered_summary(rows, ["us"], ["us"]).select((F.col("gap_mean") / 1e6).alias("avg_interval_seconds"), (F.col("gap_std") / 1e6).alias("interval_std_seconds"))
+def intervals(df: DataFrame, columns: Named) -> DataFrame:
+    """(column_name, avg_interval_seconds, interval_std_seconds) of the gaps between each column's sorted values; the deviation is of the population."""
+    gaps = sorted_gaps(df, {name: micros(c) for name, c in columns.items()})
+    return gaps.select("column_name", (F.col("gap_mean") / 1e6).alias("avg_interval_seconds"), (F.col("gap_std") / 1e6).alias("interval_std_seconds"))
 
 
 def timeline(df: DataFrame, column: Column, lo: int, hi: int, bins: int = 60) -> DataFrame:

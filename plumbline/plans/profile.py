@@ -1,8 +1,8 @@
-"""The plan of a profile: a small fixed number of jobs, whatever the number of columns, put together to a payload.
+"""The plan of a profile: a fixed number of jobs, whatever the number of columns, put together to a payload.
 
-Jobs: the probe of kinds; one wide scan for each kind; one table of levels; quantiles by
-bracketing; deviations and bins with their results as literals; ordered scans for
-direction and gaps; duplicates; correlations. What reaches the driver is a row for each
+Jobs: the probe of kinds; one wide scan for each kind; levels; a sketch, quartiles and
+deviations; bins; steps of neighbouring values; ordered scans for direction and gaps;
+duplicates; correlations; missing values by position. Each is for all columns of a kind. What reaches the driver is a row for each
 column and short lists.
 """
 
@@ -22,18 +22,17 @@ from plumbline.operators import dataset as D
 from plumbline.operators import flags as G
 from plumbline.operators import numeric as N
 from plumbline.operators import ordered as O
-from plumbline.operators import quantiles as Q
 from plumbline.operators import sketches as S
 from plumbline.operators import temporal as W
 from plumbline.options import ComputeOptions
 from plumbline.plans.kinds import ColumnPlan, classify, select_columns
+from plumbline.plans.spread import kept
 
 SCHEMA_VERSION = 2
-#: Statistics that are defined for a column without values.
+#: Statistics that are defined for a column without values: fixed values.
 DEFINED_WHEN_EMPTY = {
-    "type", "count", "missing", "unique_est", "inf", "zeros", "negatives", "dtype", "mem_bytes", "approx", "unique_est_exact", "top_values", "top_items", "top_values_uncertainty",
-    "top_items_uncertainty", "corr_top", "min_items", "max_items", "true_histogram_edges", "true_histogram_counts", "outliers_iqr_est", "outliers_mod_zscore_est", "outliers_mod_zscore",
-    "empty_zero", "by_hour", "by_dow", "by_month", "by_year", "true", "false", "singleton_levels", "exact_levels", "bimodal", "source_timezone",
+    "type", "dtype", "source_timezone", "count", "missing", "unique_est", "inf", "zeros", "negatives", "true", "false", "mem_bytes", "approx", "corr_top", "top_values", "top_items",
+    "min_items", "max_items", "true_histogram_counts", "true_histogram_edges", "by_hour", "by_dow", "by_month", "by_year",
 }
 
 
@@ -58,56 +57,69 @@ def published(stats: dict[str, Any]) -> dict[str, Any]:
     return {k: None if empty and k not in DEFINED_WHEN_EMPTY else _finite(v) for k, v in stats.items()}
 
 
-def _top(df: DataFrame, columns: dict, k: int, approximate: bool):
-    if approximate:
-        return S.frequent_values(df, columns, k)
-    counted = C.levels(df, columns)
-    return C.top_items(counted, k)
+def _uncertainty(unique: int, rows: int, k: int, approximate: bool) -> int:
+    """By how many rows a frequent value's number may be off: nothing while the sketch holds all values."""
+    tracked = max(1000, S.TRACKED * k)
+    return 0 if not approximate or unique <= 0.75 * tracked else math.ceil(3.5 * rows / tracked)
 
 
-def numeric_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOptions, indexed: DataFrame) -> dict[str, dict[str, Any]]:
+def _ordered(df: DataFrame, columns: dict, options: ComputeOptions) -> dict[str, dict[str, Any]]:
+    """Direction of each column, if the rows have an order."""
+    keys = [f"__{k}" for k in options.order_by or []]
+    rows = df.select(*[x.alias(c) for c, x in columns.items()], *[F.col(k).alias(f"__{k}") for k in options.order_by or []])
+    return _by_column(O.ordered_summary(rows, list(columns), keys or None))
+
+
+def _direction(order: dict[str, dict], name: str, known: bool) -> dict[str, bool | None]:
+    """A column of no values is monotonic both ways, rows without an order neither."""
+    found = order.get(name, {"mono_inc": True, "mono_dec": True} if known else {"mono_inc": None, "mono_dec": None})
+    return {k: found[k] for k in ("mono_inc", "mono_dec")}
+
+
+def numeric_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOptions, indexed: DataFrame, known_order: bool) -> dict[str, dict[str, Any]]:
     columns = {p.name: p.values for p in plans}
     if not columns:
         return {}
-    scan = _by_column(N.scan(df, columns))
-    clean = {c: N.N.finite(x) + 0.0 for c, x in columns.items()}
-    at = N.QUARTILES
-    if options.approximate:
-        quartiles = {c: {} for c in columns}
-        for r in S.quantiles(df, columns, at).collect():
-            quartiles[r["column_name"]][r["p"]] = r["value"]
-        facts = _by_column(S.distinct(df, clean))
-    else:
-        quartiles = Q.quantiles(df, columns, at)
-        facts = _by_column(C.level_facts(C.levels(df, clean)))
-    few = [c for c in columns if N.top_values_tracked(facts.get(c, {}).get("unique", 0), options.top_k)]
-    tops = _lists(_top(df, {c: clean[c] for c in few}, options.top_k, options.approximate), "rank") if few else {}
-    devs = _by_column(N.deviations(df, columns, {c: tuple(quartiles[c][p] for p in at) for c in columns}))
-    limits = {c: (scan[c]["min"], scan[c]["max"]) for c in columns}
-    bins = _lists(N.histogram(df, columns, limits), "bin")
-    order = _by_column(O.ordered_summary(df.select(*[x.alias(c) for c, x in columns.items()], *[F.col(k).alias(f"__{k}") for k in options.order_by or []]), list(columns), [f"__{k}" for k in options.order_by] if options.order_by else None))
+    exact = not options.approximate
+    with kept(df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])) as held:
+        own = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
+        clean = {c: N.N.finite(x) + 0.0 for c, x in own.items()}
+        scan = _by_column(N.scan(held, own))
+        facts = _by_column(N.level_counts(held, own) if exact else S.distinct(held, clean, options.hll_bits))
+        devs = _by_column(N.deviations(held, own, exact=exact))
+        few = [c for c in columns if N.top_values_tracked(facts.get(c, {}).get("unique", 0), options.top_k)]
+        counted = {c: clean[c] for c in few}
+        tops = _lists((C.top_items(C.levels(held, counted), options.top_k) if exact else S.frequent_values(held, counted, options.top_k)), "rank") if few else {}
+        limits = {c: (scan[c]["min"], scan[c]["max"]) for c in columns}
+        bins = _lists(N.histogram(held, own, limits), "bin")
+        steps = _by_column(N.granularity(held, own, None if exact else options.numeric_sample_size))
+    order = _ordered(df, columns, options)
     ends = _lists(N.extremes(indexed, columns, F.col("__row_index")), "rank")
     out = {}
     for p in plans:
-        s, q, d = scan[p.name], quartiles[p.name], devs.get(p.name, {})
+        s, d, step = scan[p.name], devs.get(p.name, {}), steps[p.name]
         unique = facts.get(p.name, {}).get("unique", 0)
-        mono = order.get(p.name, {"mono_inc": True, "mono_dec": True})
-        counts = [0] * (N.BINS if limits[p.name][0] is not None and limits[p.name][1] > limits[p.name][0] else 1)
+        lo, hi = limits[p.name]
+        counts = [0] * (N.BINS if lo is not None and hi > lo else 1)
         for r in bins.get(p.name, []):
             counts[r["bin"]] = r["n"]
-        step = N.granularity(df, p.values).first() if s["count"] > 1 else None
+        q1, q3 = d.get("q1"), d.get("q3")
+        items = {side: [(r["row_index"], r["value"]) for r in ends.get(p.name, []) if r["side"] == side] for side in ("min", "max")}
         stats = {
-            "type": "numeric", "count": s["count"], "missing": s["missing"], "unique_est": unique, "mean": s["mean"], "std": s["std"], "min": s["min"], "q1": q[0.25], "median": q[0.5], "q3": q[0.75], "max": s["max"],
-            "zeros": s["zeros"], "negatives": s["negatives"], "outliers_iqr_est": d.get("outliers_iqr", 0), "approx": options.approximate, "mem_bytes": s["mem_bytes"], "corr_top": [], "mono_inc": mono["mono_inc"], "mono_dec": mono["mono_dec"],
-            "int_like": s["int_like"], "top_values": [(r["value"], r["n"]) for r in tops.get(p.name, [])] if p.name in few else None, "top_values_uncertainty": 0, "unique_est_exact": not options.approximate, "dtype": p.dtype,
-            "inf": s["inf"], "variance": s["variance"], "skew": s["skew"], "kurtosis": s["kurtosis"], "cv": s["cv"], "se": s["se"], "gmean": s["gmean"], "min_positive": s["min_positive"],
-            "iqr": None if q[0.25] is None else q[0.75] - q[0.25], "mad": d.get("mad"), "ci_lo": s["ci_lo"], "ci_hi": s["ci_hi"], "jb_chi2": s["jb_chi2"], "outliers_mod_zscore_est": d.get("outliers_mod_zscore", 0),
-            "outliers_mod_zscore": d.get("outliers_mod_zscore", 0), "heap_pct": s["heap_pct"], "bimodal": False, "gran_decimals": step["gran_decimals"] if step else None, "gran_step": step["gran_step"] if step else None,
-            "unique_ratio_approx": unique / s["count"] if s["count"] else None, "min_items": [(r["row_index"], r["value"]) for r in ends.get(p.name, []) if r["side"] == "min"],
-            "max_items": [(r["row_index"], r["value"]) for r in ends.get(p.name, []) if r["side"] == "max"],
-            "true_histogram_edges": N.bin_edges(*limits[p.name]) if limits[p.name][0] is not None else [], "true_histogram_counts": counts if limits[p.name][0] is not None else [],
+            "type": "numeric", "count": s["count"], "missing": s["missing"], "unique_est": unique, "mean": s["mean"], "std": s["std"],
+            "min": s["min"], "q1": q1, "median": d.get("median"), "q3": q3, "max": s["max"], "zeros": s["zeros"], "negatives": s["negatives"],
+            "outliers_iqr_est": d.get("outliers_iqr", 0), "approx": options.approximate, "mem_bytes": s["mem_bytes"], "corr_top": [],
+            **_direction(order, p.name, known_order), "int_like": s["int_like"],
+            "top_values": [(r["value"], r["n"]) for r in tops.get(p.name, [])] if p.name in few else None,
+            "top_values_uncertainty": _uncertainty(unique, s["count"], options.top_k, options.approximate) if p.name in few else 0,
+            "unique_est_exact": exact, "dtype": p.dtype, "inf": s["inf"], "variance": s["variance"], "skew": s["skew"], "kurtosis": s["kurtosis"],
+            "cv": s["cv"], "se": s["se"], "gmean": s["gmean"], "min_positive": s["min_positive"], "iqr": None if q1 is None else q3 - q1, "mad": d.get("mad"),
+            "ci_lo": s["ci_lo"], "ci_hi": s["ci_hi"], "jb_chi2": s["jb_chi2"], "outliers_mod_zscore_est": d.get("outliers_mod_zscore", 0),
+            "outliers_mod_zscore": d.get("outliers_mod_zscore", 0), "heap_pct": s["heap_pct"], "bimodal": False, "gran_decimals": step["gran_decimals"],
+            "gran_step": step["gran_step"], "unique_ratio_approx": unique / s["count"] if s["count"] else None, "min_items": items["min"], "max_items": items["max"],
+            "true_histogram_edges": N.bin_edges(lo, hi) if lo is not None else [], "true_histogram_counts": counts if lo is not None else [],
         }
-        if stats["count"] + stats["missing"] >= 100 and not stats["missing"] and stats["int_like"] and unique >= 0.95 * stats["count"] and (stats["mono_inc"] or stats["mono_dec"]):
+        if G.is_identifier(stats):
             stats["type"] = "identifier"
         out[p.name] = stats
     return out
@@ -118,31 +130,37 @@ def categorical_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOp
     if not columns:
         return {}
     if options.approximate:
-        rows = _by_column(C.scan(df, columns).join(S.distinct(df, columns), "column_name", "left"))
-        for extra in (S.distinct(df, {c: F.lower(x) for c, x in columns.items()}), S.distinct(df, {c: C.stripped(x) for c, x in columns.items()})):
-            for c, r in _by_column(extra).items():
-                rows[c]["trim_variants" if "case_variants" in rows[c] else "case_variants"] = r["unique"]
-        lengths = {r["column_name"]: int(r["value"]) for r in S.quantiles(df, {c: F.length(x).cast("double") for c, x in columns.items()}, (0.9,)).collect() if r["value"] is not None}
-        tops = _lists(S.frequent_values(df, columns, options.top_k), "rank")
+        rows = _by_column(C.scan(df, columns).join(S.distinct(df, columns, options.hll_bits), "column_name", "left"))
+        for key, form in (("case_variants", F.lower), ("trim_variants", C.stripped)):
+            for c, r in _by_column(S.distinct(df, {c: form(x) for c, x in columns.items()}, options.hll_bits)).items():
+                rows[c][key] = r["unique"]
+        lengths = S.quantiles(df, {c: F.length(x).cast("double") for c, x in columns.items()}, (0.9,))
+        for r in lengths.collect():
+            rows[r["column_name"]]["len_p90"] = None if r["value"] is None else int(r["value"])
+        for c, found in _lists(S.frequent_values(df, columns, options.top_k), "rank").items():
+            rows[c]["top"] = [(t["value"], t["n"]) for t in found]
     else:
-        rows = _by_column(C.summary(df, columns, options.top_k))
-        lengths = {c: r["len_p90"] for c, r in rows.items()}
-        tops = _lists(C.top_items(C.levels(df, columns), options.top_k), "rank")
+        with kept(df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])) as held:
+            rows = {r["column_name"]: r for r in C.profile_rows(held, {c: F.col(f"x{i}") for i, c in enumerate(columns)}, options.top_k)}
     out = {}
     for p in plans:
-        r, top = rows[p.name], [(t["value"], t["n"]) for t in tops.get(p.name, [])]
-        tracked, unique = sum(n for _, n in top), r.get("unique") or 0
+        r = rows[p.name]
+        top, unique = r.get("top", []), r.get("unique") or 0
+        tracked = sum(n for _, n in top)
         shares = [n / tracked for _, n in top] if tracked else []
+        few = unique <= options.max_uniques and not options.approximate
         out[p.name] = {
-            "type": "categorical", "count": r["count"], "missing": r["missing"], "unique_est": unique, "top_items": top, "top_items_uncertainty": 0, "unique_est_exact": not options.approximate, "approx": options.approximate,
-            "mem_bytes": r["mem_bytes"], "dtype": p.dtype, "entropy": -sum(s * math.log2(s) for s in shares) + 0.0, "avg_len": r["avg_len"], "len_p90": lengths.get(p.name), "empty_zero": r["empty_zero"],
-            "case_variants_est": r.get("case_variants") or 0, "trim_variants_est": r.get("trim_variants") or 0, "most_common_ratio": top[0][1] / r["count"] if top else 0.0, "diversity_ratio": unique / r["count"] if r["count"] else 0.0,
-            "gini_impurity": 1 - sum(s * s for s in shares) if shares else 0.0, "singleton_levels": r.get("singleton_levels"), "exact_levels": r.get("exact_levels"),
+            "type": "categorical", "count": r["count"], "missing": r["missing"], "unique_est": unique, "top_items": top,
+            "top_items_uncertainty": _uncertainty(unique, r["count"], options.top_k, options.approximate), "unique_est_exact": not options.approximate, "approx": options.approximate,
+            "mem_bytes": r["mem_bytes"], "dtype": p.dtype, "entropy": -sum(s * math.log2(s) for s in shares) + 0.0, "avg_len": r["avg_len"], "len_p90": r.get("len_p90"), "empty_zero": r["empty_zero"],
+            "case_variants_est": r.get("case_variants") or 0, "trim_variants_est": r.get("trim_variants") or 0, "most_common_ratio": top[0][1] / r["count"] if top else 0.0,
+            "diversity_ratio": unique / r["count"] if r["count"] else 0.0, "gini_impurity": 1 - sum(s * s for s in shares) if shares else 0.0,
+            "singleton_levels": (r.get("levels_once") or 0) if few else None, "exact_levels": unique if few else None,
         }
     return out
 
 
-def datetime_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOptions) -> dict[str, dict[str, Any]]:
+def datetime_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOptions, known_order: bool) -> dict[str, dict[str, Any]]:
     columns = {p.name: p.values for p in plans}
     if not columns:
         return {}
@@ -152,18 +170,19 @@ def datetime_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOptio
         cal[r["column_name"]][r["part"]][r["bucket"]] = r["n"]
     seasons = _by_column(W.seasonal(tallies))
     stamps = {c: W.micros(x) for c, x in columns.items()}
-    facts = _by_column(S.distinct(df, stamps) if options.approximate else C.level_facts(C.levels(df, stamps)))
-    order = _by_column(O.ordered_summary(df.select(*[x.alias(c) for c, x in stamps.items()], *[F.col(k).alias(f"__{k}") for k in options.order_by or []]), list(columns), [f"__{k}" for k in options.order_by] if options.order_by else None))
+    facts = _by_column(S.distinct(df, stamps, options.hll_bits) if options.approximate else C.level_facts(C.levels(df, stamps)))
+    order = _ordered(df, stamps, options)
+    gaps_of = _by_column(W.intervals(df, columns))
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     out = {}
     for p in plans:
         s, own = scan[p.name], cal[p.name]
-        gaps = W.intervals(df, p.values).first() if s["count"] > 1 else None
-        mono = order.get(p.name, {"mono_inc": True, "mono_dec": True})
+        gaps = gaps_of[p.name] if s["count"] > 1 else None
         out[p.name] = {
             "type": "datetime", "count": s["count"], "missing": s["missing"], "min_ts": s["min_ts"], "max_ts": s["max_ts"], "mem_bytes": s["mem_bytes"], "dtype": p.dtype, "unique_est": facts.get(p.name, {}).get("unique", 0),
-            "mono_inc": mono["mono_inc"], "mono_dec": mono["mono_dec"], "time_span_days": s["time_span_days"], "avg_interval_seconds": gaps["avg_interval_seconds"] if gaps else 0.0,
+            **_direction(order, p.name, known_order), "time_span_days": s["time_span_days"], "avg_interval_seconds": gaps["avg_interval_seconds"] if gaps else 0.0,
             "interval_std_seconds": gaps["interval_std_seconds"] if gaps else 0.0, "weekend_ratio": s["weekend_ratio"], "business_hours_ratio": s["business_hours_ratio"],
-            "seasonal_pattern": seasons.get(p.name, {}).get("seasonal_pattern"), "source_timezone": None, "by_hour": [own["hour"].get(h, 0) for h in range(24)], "by_dow": [own["dow"].get(d, 0) for d in range(7)],
+            "seasonal_pattern": seasons.get(p.name, {}).get("seasonal_pattern"), "source_timezone": zone if p.dtype == "timestamp" and zone not in ("UTC", "Etc/UTC", "Z") else None, "by_hour": [own["hour"].get(h, 0) for h in range(24)], "by_dow": [own["dow"].get(d, 0) for d in range(7)],
             "by_month": [own["month"].get(m, 0) for m in range(1, 13)], "by_year": {str(y): n for y, n in sorted(own["year"].items())},
         }
     return out
@@ -175,32 +194,57 @@ def boolean_stats(df: DataFrame, plans: list[ColumnPlan]) -> dict[str, dict[str,
     return {p.name: {"type": "boolean", "dtype": p.dtype, **{k: rows[p.name][k] for k in keys}} for p in plans}
 
 
-def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool = True, tell: Callable[[str], None] | None = None) -> dict[str, Any]:
-    """The statistics of a table: {schema_version, dataset, columns}."""
+#: Chunks of rows above which missing values aren't told by position.
+MOST_CHUNKS = 1000
+
+
+def missing_by_position(indexed: DataFrame, names: list[str], rows: int, chunk: int | None) -> dict[str, dict[str, Any]]:
+    """Of each column with missing values, (first row, last row, missing) of each chunk of rows, and whether they stand in a gap; nothing above MOST_CHUNKS chunks."""
+    if not names or not chunk or math.ceil(rows / chunk) > MOST_CHUNKS:
+        return {}
+    by_chunk = indexed.sparkSession.createDataFrame(D.missing_by_chunk(indexed, F.col("__row_index"), chunk, names).collect(), "column_name string, start_row long, end_row long, missing long")
+    found = _by_column(D.missing_concentration(by_chunk))
+    places = _lists(by_chunk, "start_row")
+    return {
+        c: {"chunks": [(r["start_row"], r["end_row"], r["missing"]) for r in places[c]], "finding": found[c]["finding"], "rows_share": found[c]["rows_share"], "missing_share": found[c]["missing_share"]}
+        for c in names if c in found
+    }
+
+
+def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool = True, tell: Callable[[str], None] | None = None, keep: Callable[[int, dict], None] | None = None) -> dict[str, Any]:
+    """The statistics of a table: {schema_version, dataset, columns}. ``keep`` gets what there is after each kind of columns."""
+    keep = keep or (lambda step, so_far: None)
+
+    def snapshot(step: int) -> None:
+        keep(step, {"schema_version": SCHEMA_VERSION, "dataset": {}, "columns": {c: published(s) for c, s in stats.items()}})
+
     options, tell = options or ComputeOptions(), tell or (lambda step: None)
     whole = df
     df = select_columns(df, options.columns)
     tell("kinds")
     plans = classify(df, options, complete)
     of = {k: [p for p in plans if p.kind == k] for k in ("numeric", "categorical", "datetime", "boolean")}
-    rows_in_order = whole.orderBy(*options.order_by) if options.order_by else whole
-    indexed = O.with_row_index(rows_in_order, "__row_index") if of["numeric"] else df
+    known_order = bool(options.order_by) or O.has_order(df)
+    indexed = O.with_row_index(whole.orderBy(*options.order_by), "__row_index", ordered=True) if options.order_by else O.with_row_index(df, "__row_index")
     stats: dict[str, dict[str, Any]] = {}
     tell("numeric")
     source = whole if options.order_by else df
-    stats |= numeric_stats(source, of["numeric"], options, indexed)
+    stats |= numeric_stats(source, of["numeric"], options, indexed, known_order)
+    snapshot(1)
     tell("categorical")
     stats |= categorical_stats(df, of["categorical"], options)
+    snapshot(2)
     tell("datetime")
-    stats |= datetime_stats(source, of["datetime"], options)
+    stats |= datetime_stats(source, of["datetime"], options, known_order)
     stats |= boolean_stats(df, of["boolean"])
+    snapshot(3)
     tell("dataset")
     exact = not options.approximate if options.exact_duplicates is None else options.exact_duplicates
     dup = D.duplicates(df, approximate=not exact).first()
     if options.compute_correlations and len(of["numeric"]) > 1:
         pairs = D.correlations(df, {p.name: p.values for p in of["numeric"]}, options.corr_max_cols)
         for r in sorted(D.correlation_partners(pairs).collect(), key=lambda r: (r["column_name"], r["rank"])):
-            if abs(r["r"]) >= options.corr_threshold:
+            if abs(r["r"]) >= options.corr_threshold and len(stats[r["column_name"]]["corr_top"]) < options.corr_max_per_col:
                 stats[r["column_name"]]["corr_top"].append((r["partner"], r["r"]))
     rows, cols = dup["rows"], len(df.columns)
     lost = {c: stats[c]["missing"] for c in df.columns}
@@ -211,6 +255,10 @@ def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool
         "duplicate_rows_uncertainty": dup["hi"] - dup["duplicates"], "duplicates_degraded": False, "duplicate_rows_lo": dup["lo"], "duplicate_rows_hi": dup["hi"], "memory_bytes": sum(s["mem_bytes"] for s in stats.values()),
         "top_missing": [{"column": c, "pct": p, "count": n} for c, p, n in sorted(shares, key=lambda s: -s[1])[:5]],
     }
+    tell("positions")
+    places = missing_by_position(indexed, [c for c in df.columns if lost[c]], rows, options.chunk_size) if known_order else {}
+    if places:
+        dataset["missing_by_position"] = places
     return {"schema_version": SCHEMA_VERSION, "dataset": dataset, "columns": {c: published(stats[c]) for c in df.columns}}
 
 
@@ -267,8 +315,8 @@ def flag_table(spark, summary: dict[str, Any]) -> DataFrame:
         top = s.get("top_values") or s.get("top_items") or []
         return top[0][1] if top else 0
 
-    num = rows(("numeric", "identifier"), lambda s: (s["count"], s["missing"], s["inf"], s["zeros"], s["negatives"], s["min"], s["skew"], s["kurtosis"], s["jb_chi2"], s["int_like"], s["unique_est"], s["heap_pct"], s["outliers_iqr_est"], mode(s)),
-               "count long, missing long, inf long, zeros long, negatives long, min double, skew double, kurtosis double, jb_chi2 double, int_like boolean, unique long, heap_pct double, outliers_iqr long, mode_n long")
+    num = rows(("numeric", "identifier"), lambda s: (s["count"], s["missing"], s["inf"], s["zeros"], s["negatives"], s["min"], s["skew"], s["kurtosis"], s["jb_chi2"], s["int_like"], s["unique_est"], s["heap_pct"], s["outliers_iqr_est"], mode(s), s["mono_inc"], s["mono_dec"]),
+               "count long, missing long, inf long, zeros long, negatives long, min double, skew double, kurtosis double, jb_chi2 double, int_like boolean, unique long, heap_pct double, outliers_iqr long, mode_n long, mono_inc boolean, mono_dec boolean")
     cat = rows(("categorical",), lambda s: (s["count"], s["missing"], s["unique_est"], mode(s), s["case_variants_est"], s["trim_variants_est"], s["empty_zero"]),
                "count long, missing long, unique long, mode_n long, case_variants long, trim_variants long, empty_zero long")
     boo = rows(("boolean",), lambda s: (s["count"], s["missing"], s["true"], s["false"]), "count long, missing long, true long, false long")

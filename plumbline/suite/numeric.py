@@ -118,19 +118,19 @@ d AS (SELECT column_name, quantile_cont(abs(v - med), 0.5) AS mad FROM x JOIN q
 @register("num_mad", tidy_sql(f"WITH {_DEVIATIONS} SELECT * FROM d", "mad"))
 def num_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = measures(spark, sf_dir)
-    return tidy(O.deviations(df, columns, _quartiles(df, columns)).select("column_name", "mad"))
+    return tidy(O.deviations(df, columns).select("column_name", "mad"))
 
 
 @register("num_outliers_iqr", f"WITH {_DEVIATIONS} SELECT column_name, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers_iqr FROM x JOIN q USING (column_name) GROUP BY column_name")
 def num_outliers_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = measures(spark, sf_dir)
-    return O.deviations(df, columns, _quartiles(df, columns)).select("column_name", "outliers_iqr")
+    return O.deviations(df, columns).select("column_name", "outliers_iqr")
 
 
 @register("num_outliers_mad", f"WITH {_DEVIATIONS} SELECT column_name, count(*) FILTER (mad > 0 AND abs(0.6745 * (v - med) / mad) > 3.5) AS outliers_mod_zscore FROM x JOIN q USING (column_name) JOIN d USING (column_name) GROUP BY column_name")
 def num_outliers_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = measures(spark, sf_dir)
-    return O.deviations(df, columns, _quartiles(df, columns)).select("column_name", "outliers_mod_zscore")
+    return O.deviations(df, columns).select("column_name", "outliers_mod_zscore")
 
 
 @register("num_histogram", tidy_sql(f"""
@@ -162,12 +162,22 @@ def num_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ordered.ordered_summary(df, ["o_orderkey", "o_totalprice", "back"], ["o_orderkey"]))
 
 
-@register("num_granularity", tidy_sql("""
-WITH v AS (SELECT DISTINCT l_discount AS v FROM lineitem), g AS (SELECT lead(v) OVER (ORDER BY v) - v AS d FROM v), p AS (SELECT d FROM g WHERE d > 0),
-f AS (SELECT min(d) AS lo, max(d) AS hi, median(d) AS mid FROM p)
-SELECT mid AS gran_step, 2 AS gran_decimals FROM f WHERE hi - lo <= abs(hi) * 1e-9""", "gran_step", "gran_decimals"))
+_STEPS = {"discount": "l_discount", "price": "l_extendedprice", "uneven": "CASE WHEN l_linenumber = 1 THEN l_orderkey ELSE 100000 + 0.25 * l_partkey END", "one": "0.0 * l_quantity"}
+
+
+@register("num_granularity", tidy_sql(f"""
+WITH v AS ({" UNION ".join(f"SELECT DISTINCT '{k}' AS column_name, CAST({x} AS DOUBLE) AS v FROM lineitem" for k, x in _STEPS.items())}),
+g AS (SELECT column_name, lead(v) OVER (PARTITION BY column_name ORDER BY v) - v AS d FROM v),
+f AS (SELECT column_name, min(d) AS lo, max(d) AS hi, least(50, count(d)) AS bins FROM g GROUP BY ALL),
+b AS (SELECT column_name, lo, hi, bins, CASE WHEN hi - lo <= abs(hi) * 1e-9 THEN -1 ELSE least(floor((d - lo) / (hi - lo) * bins), bins - 1) END AS bin FROM g JOIN f USING (column_name) WHERE d > 0),
+c AS (SELECT *, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, bin) AS nth FROM c),
+s AS (SELECT column_name, CASE WHEN bin < 0 THEN (lo + hi) / 2 ELSE lo + (bin + 0.5) * ((hi - lo) / bins) END AS step FROM m WHERE nth = 1)
+SELECT column_name, step AS gran_step, CASE WHEN step IS NOT NULL THEN coalesce(list_filter(range(0, 11), lambda k: abs(step * 10 ** k - round(step * 10 ** k)) <= 1e-10)[1], 10) END AS gran_decimals
+FROM f LEFT JOIN s USING (column_name)""", "gran_step", "gran_decimals"))
 def num_granularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(O.granularity(table(spark, sf_dir, "lineitem"), F.col("l_discount")))
+    """Steps of a few levels, of tens of thousands, of two grids of unlike steps, and of one value."""
+    df = table(spark, sf_dir, "lineitem").select(*[F.expr(f"CAST({x} AS DOUBLE)").alias(k) for k, x in _STEPS.items()])
+    return tidy(O.granularity(df, {k: F.col(k) for k in _STEPS}))
 
 
 @register("num_unique", tidy_sql(f"WITH {_M} SELECT column_name, count(DISTINCT v) AS unique_values, count(DISTINCT v) / count(*) AS unique_ratio FROM x GROUP BY column_name", "unique_ratio"))

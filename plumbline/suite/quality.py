@@ -15,13 +15,12 @@ from plumbline.operators import quantiles as Q
 from plumbline.operators import temporal as D
 from plumbline.suite.categorical import _LEVELS, texts
 from plumbline.suite.common import measures, table, tidy, tidy_sql
-from plumbline.suite.numeric import _DEVIATIONS, _MOMENTS, _quartiles
+from plumbline.suite.numeric import _DEVIATIONS, _MOMENTS
 
 
 def numeric_table(df: DataFrame, columns: dict) -> DataFrame:
     """All that the numeric flags look at."""
-    facts = C.level_facts(C.levels(df, {k: N.N.finite(c) + 0.0 for k, c in columns.items()})).select("column_name", "unique", "mode_n")
-    return N.scan(df, columns).join(facts, "column_name", "left").join(N.deviations(df, columns, _quartiles(df, columns)), "column_name", "left")
+    return N.facts(df, columns)
 
 
 def _raised_sql(source: str, rules: list[tuple[str, str, str]]) -> str:
@@ -105,12 +104,12 @@ SELECT 'ts' AS column_name, flag, 'info' AS severity, ratio FROM f WHERE raised"
 def flags_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = table(spark, sf_dir, "events"), {"ts": F.col("ts")}
     unique = C.level_facts(C.levels(df, {"ts": D.micros(F.col("ts"))})).select("column_name", "unique")
-    gaps = D.intervals(df, F.col("ts")).withColumn("column_name", F.lit("ts"))
+    gaps = D.intervals(df, columns)
     stats = D.scan(df, columns).join(unique, "column_name").join(gaps, "column_name").join(D.seasonal(D.calendar(df, columns)), "column_name")
     return tidy(O.temporal(stats))
 
 
-_ACTING = ", ".join(f"'{a}'" for a in O.ACTIONABLE)
+_ACTING = "'missing', 'zero_inflated', 'constant', 'quasi_constant', 'imbalanced', 'high_cardinality', 'dominant', 'many_rare', 'case_variants', 'trim_variants', 'empty_values'"
 
 
 @register("triage_rank", f"""

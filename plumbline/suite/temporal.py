@@ -69,7 +69,7 @@ def dt_seasonal(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH g AS (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts)) / 1e6 AS gap FROM events)
 SELECT avg(gap) AS avg_interval_seconds, stddev_pop(gap) AS interval_std_seconds, CASE WHEN stddev_pop(gap) = 0 THEN 'identical' WHEN stddev_pop(gap) / avg(gap) < 0.1 THEN 'regular' ELSE 'irregular' END AS sentence FROM g""", "avg_interval_seconds interval_std_seconds"))
 def dt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.intervals(table(spark, sf_dir, "events"), F.col("ts"))
+    found = O.intervals(table(spark, sf_dir, "events"), {"ts": F.col("ts")}).drop("column_name")
     return tidy(found.withColumn("sentence", O.interval_sentence(F.col("avg_interval_seconds"), F.col("interval_std_seconds"))))
 
 
