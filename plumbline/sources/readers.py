@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.errors import PlumblineError, UnsupportedDataError
 from plumbline.plans.kinds import unique_names
+from plumbline.shared import new_path
 from plumbline.sources.arrow_ipc import ArrowIpcSource
 
 ARROW, EXCEL = (".arrow", ".feather", ".ipc"), (".xlsx", ".xlsm", ".xlsb", ".xls", ".ods")
@@ -59,12 +60,17 @@ def read_path(path: str, spark: SparkSession | None = None) -> DataFrame:
 
 def from_pandas(frame: Any, spark: SparkSession | None = None) -> DataFrame:
     """A pandas frame; repeated column names get suffixes, and durations are seconds."""
+    frame = _named(frame)
+    return from_arrow(pa.Table.from_pandas(_plain(frame), preserve_index=False), spark, rows=len(frame))
+
+
+def _named(frame: Any) -> Any:
     frame = frame.copy(deep=False)
     frame.columns = unique_names([str(c) for c in frame.columns])
     for c in frame.columns:
         if frame[c].dtype.kind == "m":
             frame[c] = frame[c].dt.total_seconds()
-    return from_arrow(pa.Table.from_pandas(_plain(frame), preserve_index=False), spark, rows=len(frame))
+    return frame
 
 
 def _plain(frame: Any) -> Any:
@@ -102,6 +108,60 @@ def from_arrow(table: pa.Table, spark: SparkSession | None = None, rows: int | N
     return spark.createDataFrame(pa.table(dict(zip(table.column_names, columns, strict=True))))
 
 
+#: Bytes of Arrow data that the driver holds of a source that is read piece by piece.
+HELD = 64 << 20
+
+
+def from_batches(batches: Iterable[pa.RecordBatch | pa.Table], spark: SparkSession | None = None, schema: pa.Schema | None = None) -> DataFrame:
+    """The rows of Arrow batches, of which the driver holds HELD bytes or one batch at a time: they go to the shared folder as Parquet, in order, and are read from there.
+
+    A source that fits into HELD isn't written. Columns that a later piece lacks are null.
+    """
+    spark = spark or session()
+    held: list[pa.Table] = []
+    size, path, n = 0, None, 0
+
+    def flush() -> None:
+        nonlocal path, held, size, n
+        path = path or new_path(spark, "source")
+        table = pa.concat_tables(held, promote_options="permissive")
+        from_arrow(table, spark).coalesce(1).write.mode("append").parquet(f"{path}/piece={n:08d}")
+        held, size, n = [], 0, n + 1
+
+    for batch in batches:
+        table = batch if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
+        held.append(table)
+        size += table.nbytes
+        if size >= HELD:
+            flush()
+    if path is None:
+        if not held and schema is None:
+            raise UnsupportedDataError("a source without a piece has no columns")
+        whole = pa.concat_tables(held, promote_options="permissive") if held else schema.empty_table()
+        return from_arrow(whole, spark, rows=sum(t.num_rows for t in held))
+    if held:
+        flush()
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("piece")
+
+
+def _pieces(data: Iterable[Any]) -> Iterator[pa.Table]:
+    """Frames of an iterable as Arrow tables, one at a time."""
+    for part in data:
+        if isinstance(part, (str, int, float)):
+            continue
+        module = type(part).__module__.split(".")[0]
+        if module == "pandas":
+            yield pa.Table.from_pandas(_plain(_named(part)), preserve_index=False)
+        elif module == "polars":
+            yield (part.collect() if hasattr(part, "collect") else part).to_arrow()
+        elif isinstance(part, pa.RecordBatch):
+            yield pa.Table.from_batches([part])
+        elif isinstance(part, pa.Table):
+            yield part
+        else:
+            raise UnsupportedDataError(f"no reader for a piece that is a {type(part).__name__}")
+
+
 def read(data: Any, spark: SparkSession | None = None) -> DataFrame:
     """Any supported data: a DataFrame, a path, a pandas or polars frame, an Arrow table, reader, dataset or stream, a DuckDB relation, or an iterable of frames."""
     if data is None:
@@ -115,6 +175,8 @@ def read(data: Any, spark: SparkSession | None = None) -> DataFrame:
     if module == "pandas" and hasattr(data, "columns"):
         return from_pandas(data, spark)
     if module == "polars":
+        if hasattr(data, "collect_batches"):
+            return from_batches((b.to_arrow() for b in data.collect_batches()), spark)
         frame = data.collect() if hasattr(data, "collect") else data
         return from_arrow(frame.to_arrow(), spark, rows=frame.height)
     if isinstance(data, pa.Table):
@@ -122,19 +184,20 @@ def read(data: Any, spark: SparkSession | None = None) -> DataFrame:
     if isinstance(data, pa.RecordBatch):
         return from_arrow(pa.Table.from_batches([data]), spark)
     if isinstance(data, pa.RecordBatchReader):
-        return from_arrow(data.read_all(), spark)
+        return from_batches(data, spark, data.schema)
     for method in ("to_arrow_reader", "fetch_record_batch", "fetch_arrow_table"):
         if hasattr(data, method):
             found = getattr(data, method)()
-            return from_arrow(found if isinstance(found, pa.Table) else found.read_all(), spark)
-    if module == "pyarrow" and hasattr(data, "to_table"):
-        return from_arrow(data.to_table(), spark)
+            return from_arrow(found, spark) if isinstance(found, pa.Table) else from_batches(found, spark, found.schema)
+    if module == "pyarrow" and hasattr(data, "to_batches"):
+        return from_batches(data.to_batches(), spark, data.schema)
     if hasattr(data, "__arrow_c_stream__"):
-        return from_arrow(pa.RecordBatchReader.from_stream(data).read_all(), spark)
+        reader = pa.RecordBatchReader.from_stream(data)
+        return from_batches(reader, spark, reader.schema)
     if isinstance(data, (Iterator, Iterable)) and not isinstance(data, (dict, bytes)):
-        parts = [read(part, spark) for part in data if not isinstance(part, (str, int, float))]
-        if parts:
-            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        if isinstance(data, (list, tuple)) and data and all(isinstance(part, DataFrame) for part in data):
+            return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), data)
+        return from_batches(_pieces(data), spark)
     raise UnsupportedDataError(f"no reader for {type(data).__name__}")
 
 

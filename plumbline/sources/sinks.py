@@ -36,9 +36,9 @@ def save_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").format(form).save(path)
 
 
-def rotate(folder: str | Path, prefix: str, keep: int) -> list[Path]:
-    """Leaves the newest ``keep`` files of a prefix, and says which went."""
-    files = sorted(Path(folder).glob(f"{prefix}*"), key=lambda p: (p.stat().st_mtime_ns, p.name))
+def rotate(folder: str | Path, prefix: str, keep: int, suffix: str = "") -> list[Path]:
+    """Leaves the newest ``keep`` files of a prefix and suffix, and says which went."""
+    files = sorted(Path(folder).glob(f"{prefix}*{suffix}"), key=lambda p: (p.stat().st_mtime_ns, p.name))
     old = files[:-keep] if keep else files
     for p in old:
         os.remove(p)
