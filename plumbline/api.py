@@ -8,6 +8,7 @@ import sys
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from html import escape
 from pathlib import Path
 from typing import Any
 
@@ -16,7 +17,7 @@ from pyspark.sql import SparkSession
 from plumbline.operators import check as K
 from plumbline.operators import compare as C
 from plumbline.operators import dataset as D
-from plumbline.options import ProfileConfig, resolve
+from plumbline.options import ComputeOptions, ProfileConfig, resolve
 from plumbline.plans import profile as P
 from plumbline.plans.kinds import select_columns
 from plumbline.report import html as H
@@ -51,11 +52,14 @@ class Report:
         return self.html
 
 
-def _teller(progress: bool | str | Callable[[dict], None]) -> Callable[[str], None]:
-    began = time.time()
+def _teller(options: ComputeOptions) -> Callable[[str], None]:
+    progress, began, steps = options.progress, time.time(), 0
 
     def tell(step: str) -> None:
-        log.debug("%s after %.1f s", step, time.time() - began)
+        nonlocal steps
+        steps += 1
+        if steps % options.log_every_n_chunks == 0:
+            log.info("%s after %.1f s", step, time.time() - began)
         if callable(progress):
             progress({"step": step, "elapsed": time.time() - began})
         elif progress is True or progress == "auto" and sys.stderr.isatty():
@@ -64,18 +68,36 @@ def _teller(progress: bool | str | Callable[[dict], None]) -> Callable[[str], No
     return tell
 
 
+def _keeper(options: ComputeOptions) -> Callable[[int, dict[str, Any]], None]:
+    """Writes the statistics so far, as JSON and if asked for as a page, and leaves the newest files."""
+    def keep(step: int, stats: dict[str, Any]) -> None:
+        every = options.checkpoint_every_n_chunks
+        if not every or step % every:
+            return
+        folder = Path(options.checkpoint_dir or ".")
+        folder.mkdir(parents=True, exist_ok=True)
+        sinks.save_json(folder / f"{options.checkpoint_prefix}_{step:04d}.json", stats)
+        if options.checkpoint_write_html:
+            cards = "".join(f"<li>{escape(c)}: {escape(s['type'])}, {s['count']} values</li>" for c, s in stats["columns"].items())
+            sinks.save_html(folder / f"{options.checkpoint_prefix}_{step:04d}.html", f"<!DOCTYPE html><title>step {step}</title><ul>{cards}</ul>")
+        for suffix in (".json", ".html"):
+            sinks.rotate(folder, options.checkpoint_prefix, options.checkpoint_max_to_keep, suffix)
+
+    return keep
+
+
 def summarize(data: Any, config: ProfileConfig | None = None, *, preset: str | None = None, spark: SparkSession | None = None, **options: Any) -> dict[str, Any]:
     """The statistics of any supported data, without a page."""
     cfg = resolve(config, preset, options)
-    return P.payload(readers.read(data, spark), cfg.compute, tell=_teller(cfg.compute.progress))
+    return P.payload(readers.read(data, spark), cfg.compute, tell=_teller(cfg.compute), keep=_keeper(cfg.compute))
 
 
 def profile(data: Any, config: ProfileConfig | None = None, *, preset: str | None = None, spark: SparkSession | None = None, **options: Any) -> Report:
     """The statistics of any supported data, and a self-contained page of them."""
     cfg = resolve(config, preset, options)
     df = readers.read(data, spark)
-    tell = _teller(cfg.compute.progress)
-    stats = P.payload(df, cfg.compute, tell=tell)
+    tell = _teller(cfg.compute)
+    stats = P.payload(df, cfg.compute, tell=tell, keep=_keeper(cfg.compute))
     tell("page")
     shown = select_columns(df, cfg.compute.columns)
     rows = [r.asDict() for r in D.sample_rows(shown, cfg.compute.random_seed, cfg.render.sample_rows).collect()] if cfg.render.include_sample and shown.columns else []

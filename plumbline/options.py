@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
@@ -19,7 +20,13 @@ class ComputeOptions:
     sketches; otherwise all statistics are exact. ``order_by`` names the columns that give
     rows their order; without it rows have the order in which their source is read.
     ``exact_duplicates`` None counts duplicate rows exactly unless ``approximate`` is set.
-    ``chunk_size`` is the resolution of missing-by-position; None is one chunk.
+    ``chunk_size`` is the resolution of missing-by-position, which None leaves out.
+    ``numeric_sample_size`` and ``max_uniques`` bound what is estimated from samples and
+    sketches in approximate mode, and ``max_uniques`` also the levels up to which
+    singletons are told. ``corr_max_per_col`` is the number of partners that a column
+    lists. Every ``log_every_n_chunks``-th step of a profile is logged, and after every
+    ``checkpoint_every_n_chunks``-th the statistics so far are written to
+    ``checkpoint_dir``, of which the newest ``checkpoint_max_to_keep`` stay.
     """
 
     chunk_size: int | None = 50_000
@@ -52,6 +59,11 @@ class ComputeOptions:
     def __post_init__(self) -> None:
         self.validate()
 
+    @property
+    def hll_bits(self) -> int:
+        """The size of a distinct-count sketch that errs by less than one of ``max_uniques`` minimum hashes."""
+        return min(21, max(8, math.ceil(math.log2(self.max_uniques)) + 3))
+
     def validate(self) -> None:
         positive = ("numeric_sample_size", "max_uniques", "top_k", "log_every_n_chunks", "checkpoint_max_to_keep", "boolean_detection_min_samples", "corr_max_cols", "corr_max_per_col")
         for name in positive:

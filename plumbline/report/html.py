@@ -108,10 +108,15 @@ def page(summary: dict[str, Any], flags: list[dict[str, Any]], rows: list[dict[s
     if rows:
         head = "".join(f"<th>{escape(str(c))}</th>" for c in rows[0])
         sample = f"<section><h2>Sample</h2><table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{escape(str(v))[:80]}</td>" for v in r.values()) + "</tr>" for r in rows) + "</table></section>"
+    strips = "".join(f"<tr><th>{escape(c)}</th><td>{bars([m for _, _, m in p['chunks']], [f'rows {a:,} to {b:,}' for a, b, _ in p['chunks']])}</td><td>{escape(p['finding'])}</td></tr>" for c, p in d.get("missing_by_position", {}).items())
+    places = f"<section><h2>Missing values by position</h2><table>{strips}</table></section>" if strips else ""
+    pairs = {tuple(sorted((c, o))): r for c, s in summary["columns"].items() for o, r in s.get("corr_top", [])}
+    strong = [(f"{a} and {b}", f"{r:.3f}") for (a, b), r in sorted(pairs.items(), key=lambda x: (-abs(x[1]), x[0]))[:100]]
+    near = f"<section><h2>Correlations</h2>{_table(strong)}</section>" if strong else ""
     options = "".join(f"<option>{k}</option>" for k in kinds)
     tools = f'<p><input id="q" placeholder="search columns"> <select id="k"><option value="">all kinds</option>{options}</select> <select id="s"><option value="at">in order</option><option value="name">by name</option><option value="missing">by missing</option></select></p>'
     about = markdown(description) if description else ""
     return (
         f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title><style>{_STYLE}</style></head><body><main><h1>{escape(title)}</h1>{about}'
-        f'<section><h2>Overview</h2><div class="grid">{_table(overview)}{_table(missing)}</div></section>{tools}<div>{"".join(cards)}</div>{sample}</main><script>{_SCRIPT}</script></body></html>'
+        f'<section><h2>Overview</h2><div class="grid">{_table(overview)}{_table(missing)}</div></section>{places}{near}{tools}<div>{"".join(cards)}</div>{sample}</main><script>{_SCRIPT}</script></body></html>'
     )

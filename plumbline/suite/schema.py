@@ -71,25 +71,54 @@ def proj_dedup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("a"), F.col("r_name").alias("a")))
 
 
-@register("profile_long", """
-SELECT 'o_totalprice' AS column_name, 'count' AS stat, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'o_orderstatus', 'unique_est', CAST(count(DISTINCT o_orderstatus) AS VARCHAR) FROM orders
-UNION ALL SELECT '', 'rows_est', CAST(count(*) AS VARCHAR) FROM orders UNION ALL SELECT 'o_orderdate', 'max_ts', CAST(epoch_us(max(o_orderdate)) * 1000 AS VARCHAR) FROM orders""")
+_PAYLOAD = {
+    "o_totalprice": """WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS med, quantile_cont(o_totalprice, 0.75) AS q3, avg(o_totalprice) AS m FROM orders),
+      d AS (SELECT quantile_cont(abs(o_totalprice - med), 0.5) AS mad FROM orders, q),
+      c AS (SELECT avg((o_totalprice - m) ** 2) AS m2, avg((o_totalprice - m) ** 3) AS m3, avg((o_totalprice - m) ** 4) AS m4 FROM orders, q)
+      SELECT count(*) AS count, 0 AS missing, count(DISTINCT o_totalprice) AS unique_est, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS std, min(o_totalprice) AS min, any_value(q1) AS q1, any_value(med) AS median,
+        any_value(q3) AS q3, max(o_totalprice) AS max, count(*) FILTER (o_totalprice = 0) AS zeros, count(*) FILTER (o_totalprice < 0) AS negatives,
+        count(*) FILTER (o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)) AS outliers_iqr_est, count(*) FILTER (mad > 0 AND abs(0.6745 * (o_totalprice - med) / mad) > 3.5) AS outliers_mod_zscore,
+        0 AS inf, var_samp(o_totalprice) AS variance, any_value(m3 / m2 ** 1.5) AS skew, any_value(m4 / m2 ** 2 - 3) AS kurtosis, stddev_samp(o_totalprice) / abs(avg(o_totalprice)) AS cv, stddev_samp(o_totalprice) / sqrt(count(*)) AS se,
+        exp(avg(ln(o_totalprice))) AS gmean, min(o_totalprice) FILTER (o_totalprice > 0) AS min_positive, any_value(q3 - q1) AS iqr, any_value(mad) AS mad, avg(o_totalprice) - 1.96 * stddev_samp(o_totalprice) / sqrt(count(*)) AS ci_lo,
+        avg(o_totalprice) + 1.96 * stddev_samp(o_totalprice) / sqrt(count(*)) AS ci_hi, count(*) * any_value((m3 / m2 ** 1.5) ** 2 / 6 + (m4 / m2 ** 2 - 3) ** 2 / 24) AS jb_chi2, count(DISTINCT o_totalprice) / count(*) AS unique_ratio_approx
+      FROM orders, q, d, c""",
+    "o_orderstatus": """WITH l AS (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT sum(n) AS t FROM l)
+      SELECT any_value(t) AS count, 0 AS missing, count(*) AS unique_est, -sum(n / t * log2(n / t)) AS entropy, sum(length(v) * n) / any_value(t) AS avg_len, 1 AS len_p90, count(*) FILTER (v IN ('', '0')) AS empty_zero,
+        count(DISTINCT lower(v)) AS case_variants_est, count(DISTINCT trim(v)) AS trim_variants_est, max(n) / any_value(t) AS most_common_ratio, count(*) / any_value(t) AS diversity_ratio, 1 - sum((n / t) ** 2) AS gini_impurity,
+        count(*) FILTER (n = 1) AS singleton_levels, count(*) AS exact_levels FROM l, t""",
+    "o_orderdate": """WITH g AS (SELECT o_orderdate AS ts, (epoch_us(o_orderdate) - lag(epoch_us(o_orderdate)) OVER (ORDER BY o_orderdate)) / 1e6 AS gap FROM orders)
+      SELECT count(*) AS count, 0 AS missing, epoch_us(min(ts)) * 1000 AS min_ts, epoch_us(max(ts)) * 1000 AS max_ts, count(DISTINCT ts) AS unique_est, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6 AS time_span_days,
+        avg(gap) AS avg_interval_seconds, stddev_pop(gap) AS interval_std_seconds, avg(CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END) AS weekend_ratio,
+        avg(CASE WHEN hour(ts) >= 9 AND hour(ts) < 17 THEN 1 ELSE 0 END) * (1 - avg(CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END)) AS business_hours_ratio FROM g""",
+    "": "SELECT count(*) AS rows_est, 3 AS cols, 0 AS missing_cells, 0 AS missing_cells_pct, count(*) - count(DISTINCT (o_totalprice, o_orderstatus, o_orderdate)) AS duplicate_rows_est FROM orders",
+}
+_SCALARS = {
+    "o_totalprice": "count missing unique_est mean std min q1 median q3 max zeros negatives outliers_iqr_est outliers_mod_zscore inf variance skew kurtosis cv se gmean min_positive iqr mad ci_lo ci_hi jb_chi2 unique_ratio_approx",
+    "o_orderstatus": "count missing unique_est entropy avg_len len_p90 empty_zero case_variants_est trim_variants_est most_common_ratio diversity_ratio gini_impurity singleton_levels exact_levels",
+    "o_orderdate": "count missing min_ts max_ts unique_est time_span_days avg_interval_seconds interval_std_seconds weekend_ratio business_hours_ratio", "": "rows_est cols missing_cells missing_cells_pct duplicate_rows_est",
+}
+
+
+@register("profile_long", tidy_sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, stat, value FROM (UNPIVOT (SELECT {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in _SCALARS[c].split())} FROM ({sql})) ON COLUMNS(*) INTO NAME stat VALUE value)" for c, sql in _PAYLOAD.items()
+), "value"))
 def profile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All plain statistics of a whole payload."""
     summary = P.payload(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderstatus", "o_orderdate"), ComputeOptions(compute_correlations=False))
-    keep = [("o_totalprice", "count"), ("o_orderstatus", "unique_est"), ("", "rows_est"), ("o_orderdate", "max_ts")]
-    wanted = spark.createDataFrame(keep, "column_name string, stat string")
-    return P.long_table(spark, summary).join(F.broadcast(wanted), ["column_name", "stat"]).select("column_name", "stat", "value")  # a row for each statistic
+    stats = {"": summary["dataset"], **summary["columns"]}
+    rows = [(c, k, float(stats[c][k])) for c, names in _SCALARS.items() for k in names.split()]
+    return tidy(spark.createDataFrame(rows, "column_name string, stat string, value double"))
 
 
 @register("ds_composition", "SELECT * FROM (VALUES ('identifier', 1, 17), ('numeric', 2, 33), ('categorical', 2, 33), ('datetime', 1, 17)) t(kind, columns, pct)")
 def ds_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = P.payload(table(spark, sf_dir, "orders"), ComputeOptions(compute_correlations=False, approximate=True))
+    summary = P.payload(table(spark, sf_dir, "orders"), ComputeOptions(compute_correlations=False))
     return tidy(spark.createDataFrame([(k, n, p) for k, (n, p) in P.composition(summary).items()], "kind string, columns int, pct int"))
 
 
 @register("ds_quick_facts", "SELECT (SELECT count(*) FROM orders) AS rows, 6 AS complete, epoch_us(min(o_orderdate)) * 1000 AS first_ts, epoch_us(max(o_orderdate)) * 1000 AS last_ts, 2 AS text_columns FROM orders")
 def ds_quick_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = P.payload(table(spark, sf_dir, "orders"), ComputeOptions(compute_correlations=False, approximate=True))
+    summary = P.payload(table(spark, sf_dir, "orders"), ComputeOptions(compute_correlations=False))
     f = P.quick_facts(summary)
     return tidy(spark.createDataFrame([(summary["dataset"]["rows_est"], f["complete"], f["first_ts"], f["last_ts"], f["text_columns"])], "rows long, complete int, first_ts long, last_ts long, text_columns int"))
 

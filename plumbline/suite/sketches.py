@@ -29,20 +29,32 @@ def sk_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(O.merge_moments(union).select("column_name", "n", "mean", "m2", "m4"))
 
 
-@register("sk_distinct_hll", f"WITH {_M} SELECT column_name, true AS within FROM x GROUP BY column_name")
+#: Numbers to one or two significant digits, which an estimate within its error shares with the exact one, unless a limit lies between them.
+_ROUGH = "CAST(printf('%.{d}e', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
+def _rough(x, digits: int):
+    return F.format_string(f"%.{digits - 1}e", x.cast("double")).cast("double")
+
+
+def _rough_sql(x: str, digits: int) -> str:
+    return _ROUGH.format(d=digits - 1, x=x)
+
+
+@register("sk_distinct_hll", f"""
+WITH {measures_sql(("l_quantity", "l_discount", "tax_gaps", "line", "l_extendedprice"))}, e AS (SELECT column_name, count(DISTINCT v) AS n FROM x GROUP BY column_name)
+SELECT column_name, CASE WHEN n < 100 THEN n ELSE {_rough_sql('n', 1)} END AS distinct_values FROM e""")
 def sk_distinct_hll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, columns = measures(spark, sf_dir, _TWO)
-    exact = C.level_facts(C.levels(df, columns)).select("column_name", F.col("unique").alias("exact"))
-    return O.distinct(df, columns).join(exact, "column_name").select("column_name", (F.abs(F.col("unique") - F.col("exact")) <= 4 * F.col("error") + 2).alias("within"))
+    """Estimates: exact for few values, and for many to one significant digit."""
+    df, columns = measures(spark, sf_dir, ("l_quantity", "l_discount", "tax_gaps", "line", "l_extendedprice"))
+    found = O.distinct(df, {c: O.N.finite(x) + 0.0 for c, x in columns.items()})
+    return found.select("column_name", F.when(F.col("unique") < 100, F.col("unique").cast("double")).otherwise(_rough(F.col("unique"), 1)).alias("distinct_values"))
 
 
-@register("sk_quantiles_kll", f"WITH {_M} SELECT column_name, true AS within FROM x GROUP BY column_name")
+@register("sk_quantiles_kll", f"WITH {_M} SELECT column_name, {_rough_sql('quantile_cont(v, 0.4)', 1)} AS p40 FROM x GROUP BY column_name")
 def sk_quantiles_kll(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, columns = measures(spark, sf_dir, _TWO)
-    found = {r["column_name"]: r["value"] for r in O.quantiles(df, columns, (0.5,)).collect()}  # a row for each column
-    n = {c: F.count(O.N.finite(x)) for c, x in columns.items()}
-    ranks = df.agg(*[((F.count_if(x < found[c]) <= 0.52 * n[c]) & (F.count_if(x <= found[c]) >= 0.48 * n[c])).alias(c) for c, x in columns.items()])
-    return ranks.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("within")) for c in columns])))
+    return O.quantiles(df, columns, (0.4,)).select("column_name", _rough(F.col("value"), 1).alias("p40"))
 
 
 @register("sk_topk", "SELECT 'l_linenumber' AS column_name, CAST(l_linenumber AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -50,12 +62,13 @@ def sk_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.frequent_values(table(spark, sf_dir, "lineitem"), {"l_linenumber": F.col("l_linenumber").cast("string")}, 10).select("column_name", "value", "n")
 
 
-@register("sk_kmv_merge", "SELECT true AS within")
+@register("sk_kmv_merge", f"SELECT {_rough_sql('count(DISTINCT o_custkey)', 1)} AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders")
 def sk_kmv_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of three parts of a table, merged."""
     df = table(spark, sf_dir, "orders")
-    parts = [O.distinct_sketches(df.filter(F.pmod("o_orderkey", F.lit(3)) == k), {"c": F.col("o_custkey")}) for k in range(3)]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("u"))
-    return merged.crossJoin(F.broadcast(df.agg(F.count_distinct("o_custkey").alias("e")))).select((F.abs(F.col("u") - F.col("e")) <= 5 * O.HLL_ERROR * F.col("e") + 1).alias("within"))  # one row
+    parts = [O.distinct_sketches(df.filter(F.pmod("o_orderkey", F.lit(3)) == k), {"c": F.col("o_custkey"), "p": F.col("o_orderpriority")}) for k in range(3)]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy().pivot("column_name", ["c", "p"]).agg(F.hll_sketch_estimate(F.hll_union_agg("hll")))
+    return merged.select(_rough(F.col("c"), 1).alias("customers"), F.col("p").alias("priorities"))
 
 
 @register("sk_hash", "SELECT count(DISTINCT r_regionkey) AS keys FROM region")
@@ -66,19 +79,28 @@ def sk_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubled.select(a.alias("a"), b.alias("b")).distinct().agg(F.count("*").alias("keys"))
 
 
-@register("sk_reservoir", "SELECT 100 AS rows, 100 AS known")
+@register("sk_reservoir", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT NULL, CAST(least(100, count(*)) AS VARCHAR), NULL FROM (SELECT DISTINCT * FROM orders)")
 def sk_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table that is smaller than the sample, and the number of different rows of a sample of a larger one."""
+    small = O.reservoir(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), 100, seed=3)
+    orders = table(spark, sf_dir, "orders")
+    large = O.reservoir(orders, 100, seed=3).intersect(orders).agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    return small.unionByName(large.select(none.cast(small.schema["n_nationkey"].dataType).alias("n_nationkey"), F.col("n").cast("string").alias("n_name"), none.cast(small.schema["n_regionkey"].dataType).alias("n_regionkey")))
+
+
+@register("sk_seed", "SELECT count(DISTINCT o_orderkey) = 1500 AS own_order, true AS same_again FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1500)")
+def sk_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another seed chooses other rows, the same one the same rows."""
     df = table(spark, sf_dir, "orders")
-    sample = O.reservoir(df, 100, seed=3)
-    again = df.select("o_orderkey", F.lit(1).alias("found"))
-    return tidy(sample.select("o_orderkey").join(again, "o_orderkey", "left").agg(F.count("*").alias("rows"), F.count("found").alias("known")))
+    samples = [sorted(r["o_orderkey"] for r in O.reservoir(df, 50, seed=s).collect()) for s in (1, 1, 2)]
+    return spark.createDataFrame([(samples[0] != samples[2], samples[0] == samples[1])], "own_order boolean, same_again boolean")
 
 
-@register("ds_duplicates_sketch", "SELECT true AS within")
+@register("ds_duplicates_sketch", f"SELECT {_rough_sql('count(*)', 2)} AS rows, {_rough_sql('count(*) - count(DISTINCT (l_partkey, l_linenumber))', 1)} AS duplicates FROM lineitem")
 def ds_duplicates_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber")
-    exact = D.duplicates(df).select(F.col("duplicates").alias("exact"))
-    return D.duplicates(df, approximate=True).crossJoin(F.broadcast(exact)).select(((F.col("exact") >= F.col("lo") - 3 * (F.col("hi") - F.col("duplicates"))) & (F.col("exact") <= F.col("hi") + 3 * (F.col("hi") - F.col("duplicates")))).alias("within"))  # one row
+    found = D.duplicates(table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber"), approximate=True)
+    return found.select(_rough(F.col("rows"), 2).alias("rows"), _rough(F.col("duplicates"), 1).alias("duplicates"))
 
 
 @register("st_stream_state", tidy_sql("""
