@@ -9,6 +9,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError, UnsupportedDataError
 from plumbline.plans.kinds import unique_names
@@ -115,17 +116,24 @@ HELD = 64 << 20
 def from_batches(batches: Iterable[pa.RecordBatch | pa.Table], spark: SparkSession | None = None, schema: pa.Schema | None = None) -> DataFrame:
     """The rows of Arrow batches, of which the driver holds HELD bytes or one batch at a time: they go to the shared folder as Parquet, in order, and are read from there.
 
-    A source that fits into HELD isn't written. Columns that a later piece lacks are null.
+    A source that fits into HELD isn't written. Columns that a piece lacks, or has without a
+    type, are null there; numbers take the wider of their types.
     """
     spark = spark or session()
     held: list[pa.Table] = []
+    names: dict[str, None] = {}
+    folders: dict[str, str] = {}  # of pieces of one schema
     size, path, n = 0, None, 0
 
     def flush() -> None:
         nonlocal path, held, size, n
         path = path or new_path(spark, "source")
         table = pa.concat_tables(held, promote_options="permissive")
-        from_arrow(table, spark).coalesce(1).write.mode("append").parquet(f"{path}/piece={n:08d}")
+        names.update(dict.fromkeys(table.column_names))
+        typed = table.select([f.name for f in table.schema if not pa.types.is_null(f.type)])
+        frame = from_arrow(typed, spark, rows=table.num_rows)
+        folder = folders.setdefault(frame.schema.simpleString(), f"{path}/schema-{len(folders)}")
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/piece-{n:08d}")
         held, size, n = [], 0, n + 1
 
     for batch in batches:
@@ -141,7 +149,10 @@ def from_batches(batches: Iterable[pa.RecordBatch | pa.Table], spark: SparkSessi
         return from_arrow(whole, spark, rows=sum(t.num_rows for t in held))
     if held:
         flush()
-    return spark.read.option("mergeSchema", "true").parquet(path).drop("piece")
+    parts = [spark.read.option("recursiveFileLookup", "true").parquet(folder) for folder in folders.values()]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    empty = [F.lit(None).cast("string").alias(c) for c in names if c not in whole.columns]
+    return whole.select("*", *empty).select(*[F.col(f"`{c}`") for c in names])
 
 
 def _pieces(data: Iterable[Any]) -> Iterator[pa.Table]:
@@ -216,6 +227,4 @@ def chunks(data: Any, chunk_size: int, spark: SparkSession | None = None) -> Ite
 
 def partition_sizes(df: DataFrame) -> DataFrame:
     """(partition, rows): how rows lie in partitions."""
-    from pyspark.sql import functions as F
-
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))

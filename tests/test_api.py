@@ -6,11 +6,13 @@ import pyarrow as pa
 import pyarrow.feather
 import pyarrow.ipc
 import pytest
+from pyspark.sql import functions as F
 
 import plumbline
 from plumbline import cli
 from plumbline.errors import ConfigurationError, PlumblineError, UnsupportedDataError
 from plumbline.operators import check as K
+from plumbline.operators import numeric, quantiles
 from plumbline.plans.kinds import classify, unique_names
 from plumbline.sources import readers, sinks
 
@@ -154,3 +156,74 @@ def test_command_line(spark, frame, tmp_path, capsys):
     assert cli.main(["check", path, "--thresholds", str(tmp_path / "t.toml"), "--warn-only"]) == 0
     assert cli.main(["check", str(tmp_path / "none.parquet")]) == 2
     assert cli.main(["nonsense"]) == 2
+
+
+def test_jobs_do_not_grow_with_columns(spark):
+    def jobs(n):
+        df = spark.range(500).select(*[(F.col("id") * (i + 3) % 401 + 0.5).alias(f"n{i}") for i in range(n)], *[F.concat(F.lit("t"), F.col("id") % (60 + i)).alias(f"t{i}") for i in range(n)])
+        df = df.select("*", *[F.timestamp_seconds(F.col("n0") * (i + 1)).alias(f"d{i}") for i in range(n)])
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+        plumbline.summarize(df, correlations=False)
+        return spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before
+
+    assert abs(jobs(1) - jobs(6)) <= 1
+
+
+def test_order_of_files_of_unequal_size(spark, tmp_path):
+    spark.range(0, 1000).coalesce(1).write.parquet(f"file://{tmp_path}/a")
+    spark.range(1000, 100_000).coalesce(1).write.parquet(f"file://{tmp_path}/b")
+    df = spark.read.parquet(f"file://{tmp_path}/a", f"file://{tmp_path}/b")
+    column = plumbline.summarize(df)["columns"]["id"]
+    assert column["mono_inc"] and not column["mono_dec"] and column["type"] == "identifier"
+    assert column["min_items"][0] == (0, 0.0) and column["max_items"][0] == (99_999, 99_999.0)
+    dealt = plumbline.summarize(df.repartition(3))["columns"]["id"]  # has no order any more
+    assert dealt["mono_inc"] is None and dealt["min_items"][0] == (None, 0.0)
+
+
+def test_steps_of_all_values(spark):
+    df = spark.range(225_000).select(F.when(F.col("id") < 25_000, F.col("id").cast("double")).otherwise(25_000 + 0.25 * (F.col("id") - 25_000)).alias("x"))
+    (got,) = numeric.granularity(df, {"x": F.col("x")}).collect()
+    assert 0.25 <= got.gran_step < 0.27  # the middle of the fullest of fifty bins from 0.25 to 1
+
+
+def test_quantiles_that_need_more_rounds(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "READABLE", 50)
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise((F.col("id") * 7919 % 30_011).cast("double")).alias("x"))
+    values = sorted(r.x for r in df.collect())
+    at = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    got = quantiles.quantiles(df, {"x": F.col("x")}, at)["x"]
+    assert all(math.isclose(got[p], float(pd.Series(values).quantile(p)), rel_tol=1e-12) for p in at)
+    (d,) = numeric.deviations(df, {"x": F.col("x")}).collect()
+    far = (pd.Series(values) - pd.Series(values).median()).abs()
+    assert math.isclose(d.mad, far.median(), rel_tol=1e-12) and d.outliers_mod_zscore == int((0.6745 * far / far.median() > 3.5).sum())
+
+
+def test_sources_are_read_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(readers, "HELD", 1000)
+    schema = pa.schema([("i", pa.int64()), ("t", pa.string())])
+    pieces = (pa.record_batch([pa.array(range(k * 100, k * 100 + 100)), pa.array(["x"] * 100)], schema=schema) for k in range(12))
+    df = readers.read(pa.RecordBatchReader.from_batches(schema, pieces))
+    assert df.count() == 1200 and df.agg(F.sum("i")).first()[0] == sum(range(1200))
+    frames = (pd.DataFrame({"i": range(k * 100, k * 100 + 100), "u": [None] * 100 if k < 5 else [1.5] * 100}) for k in range(9))
+    df = readers.read(frames)
+    assert df.count() == 900 and df.agg(F.sum("u")).first()[0] == 600
+
+
+def test_snapshots_and_checked_thresholds(spark, tmp_path):
+    compute = plumbline.ComputeOptions(checkpoint_every_n_chunks=1, checkpoint_dir=str(tmp_path / "c"), checkpoint_max_to_keep=2, checkpoint_write_html=True, compute_correlations=False)
+    plumbline.summarize(spark.range(20).select("id", F.lit("a").alias("t")), plumbline.ProfileConfig(compute=compute))
+    assert len(list((tmp_path / "c").glob("*.json"))) == 2 and len(list((tmp_path / "c").glob("*.html"))) == 2
+    for bad in ({"max_missing_pct": "5"}, {"min_rows": -3}, {"fail_on_new_column": "no"}, {"max_age": -1}):
+        with pytest.raises(ConfigurationError):
+            K.Thresholds.from_mapping(bad)
+    (tmp_path / "t.txt").write_text("{}")
+    with pytest.raises(ConfigurationError):
+        K.Thresholds.from_file(tmp_path / "t.txt")
+
+
+def test_long_texts_are_counted_by_digests(spark):
+    long = "x" * 500
+    df = spark.createDataFrame([(long + "1",)] * 3 + [(long + "2",)] * 2 + [("short",)] * 4 + [(None,)], "t string")
+    found = plumbline.summarize(df, correlations=False)["columns"]["t"]
+    assert found["top_items"] == [("short", 4), (long + "1", 3), (long + "2", 2)] and found["unique_est"] == 3 and found["missing"] == 1
