@@ -124,6 +124,14 @@ class _Grown:
         return self._held[: self.n]
 
 
+_RAMP = np.arange(vec.SLAB + (1 << 16))
+
+
+def _ramp(n: int) -> np.ndarray:
+    """0 to n - 1; made anew for very long rows only."""
+    return _RAMP[:n] if n <= len(_RAMP) else np.arange(n)
+
+
 class UnitEncoder:
     """Encodes columns of texts with a ``tokenizers`` tokenizer as it is by default, each distinct unit once as long as the table isn't full."""
 
@@ -182,10 +190,12 @@ class UnitEncoder:
 
     def _strange(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, found: np.ndarray) -> np.ndarray:
         """Units that aren't, byte for byte, those of their entries. Units stand side by side and cover ``data``."""
-        size, pool = ends - starts, self._raw.all
-        theirs = np.arange(len(data)) + np.repeat(self._raw_begin.all[found] - starts, size)
-        differ = pool[np.minimum(theirs, len(pool) - 1)] != data
-        return np.flatnonzero((size != self._size.all[found]) | np.logical_or.reduceat(differ, starts))
+        size = ends - starts
+        theirs = np.repeat(self._raw_begin.all[found] - starts, size)
+        theirs += _ramp(len(data))
+        (differ,) = np.nonzero(self._raw.all.take(theirs, mode="clip") != data)
+        odd = np.flatnonzero(size != self._size.all[found])
+        return odd if not len(differ) else np.union1d(odd, np.searchsorted(starts, differ, "right") - 1)
 
     def _rows_with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows that hold the string of an added token."""
@@ -219,7 +229,9 @@ class UnitEncoder:
             assert (found >= 0).all(), "a unit without an entry"
         lengths = self._length.all[found].astype(np.int64)
         upto = np.cumsum(lengths)
-        ids = self._ids.all[np.repeat(self._begin.all[found] - (upto - lengths), lengths) + np.arange(int(upto[-1]))]
+        at = np.repeat(self._begin.all[found] - (upto - lengths), lengths)
+        at += _ramp(len(at))
+        ids = self._ids.all[at]
         bounds = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
         strange = np.searchsorted(offsets, starts[self._strange(data, starts, ends, found)], "right") - 1
         odd = [strange, rows_with_wide_space(data, offsets), self._rows_with_added(data, offsets)]
