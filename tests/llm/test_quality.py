@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import quality, queries
 
 SF = "/root/testdata/sf0.01"
@@ -38,6 +40,17 @@ def test_query_keeps_good_and_rejects_bad(spark):
     assert sum(bad) <= 0.1 * len(bad)
 
 
+def test_list_holds_on_rows_it_has_not_learned_from(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    rows = {r.doc_id: r for r in quality.judge(spark.read.parquet(f"{SF}/documents.parquet"), labels.filter(~held)).collect()}
+    judged = [(r.quality, rows[r.doc_id].kept) for r in labels.filter(held).collect() if not rows[r.doc_id].base_failed]
+    good, bad = [k for q, k in judged if q], [k for q, k in judged if not q]
+    assert len(good) >= 100 and len(bad) >= 10
+    assert sum(good) >= 0.95 * len(good)
+    assert sum(bad) <= 0.2 * len(bad)
+
+
 def test_learning_on_counts():
     cuts = {name: [1.0, 2.0] for name in quality.FEATURES}
     table = [((0, 2, 0, 0, 0), False, 0, 40), ((0, 2, 0, 0, 0), True, 0, 20), ((0, 1, 0, 0, 0), False, 10, 2), ((0, 0, 0, 0, 2), False, 1, 30), ((0, 0, 0, 0, 2), True, 0, 15)]
