@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import register
 from plumbline.operators import categorical as C
 from plumbline.operators import temporal as O
+from plumbline.operators.ordered import ordered_summary
 from plumbline.suite.common import table, tidy, tidy_sql
 
 _RAW = """raw AS (SELECT 'ts' AS column_name, ts AS t FROM events UNION ALL SELECT 'gaps', CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END FROM events),
@@ -93,7 +94,7 @@ WITH g AS (SELECT ts - lag(ts) OVER (ORDER BY event_id) AS gap FROM events)
 SELECT 'ts' AS column_name, coalesce(bool_and(gap >= INTERVAL 0 SECOND), true) AS mono_inc, coalesce(bool_and(gap <= INTERVAL 0 SECOND), true) AS mono_dec FROM g""")
 def dt_monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("event_id", O.micros(F.col("ts")).alias("ts"))
-    return O.ordered_summary(df, ["ts"], ["event_id"]).select("column_name", "mono_inc", "mono_dec")
+    return ordered_summary(df, ["ts"], ["event_id"]).select("column_name", "mono_inc", "mono_dec")
 
 
 @register("dt_flat_verdict", f"""
