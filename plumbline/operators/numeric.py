@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import numbers as N
 from plumbline.operators import quantiles as Q
 from plumbline.plans.spread import kept, spread
+from plumbline.plans.together import together
 from plumbline.shared import durable, release
 
 #: Fences, the normal quantile of a 95 % interval, MAD's scale and limit, bins of a histogram, kept extremes.
@@ -128,9 +129,12 @@ def facts(df: DataFrame, columns: Named) -> DataFrame:
     raw = df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])
     with kept(raw) as held:
         own = {name: F.col(f"x{i}") for i, name in enumerate(columns)}
-        parts = [scan(held, own), level_counts(held, own)]
-        parts = [held.sparkSession.createDataFrame(p.collect(), p.schema) for p in parts]  # a row for each column
-        return parts[0].join(parts[1], "column_name", "left").join(deviations(held, own), "column_name", "left")
+
+        def told(rows: DataFrame) -> DataFrame:
+            return held.sparkSession.createDataFrame(rows.collect(), rows.schema)  # a row for each column
+
+        moments, levels, spreads = together(held.sparkSession, lambda: told(scan(held, own)), lambda: told(level_counts(held, own)), lambda: deviations(held, own))
+        return moments.join(levels, "column_name", "left").join(spreads, "column_name", "left")
 
 
 def bounds(df: DataFrame, columns: Named) -> dict[str, tuple[float | None, float | None]]:

@@ -9,6 +9,7 @@ column and short lists.
 from __future__ import annotations
 
 import math
+import threading
 from collections import defaultdict
 from collections.abc import Callable
 from typing import Any
@@ -27,6 +28,7 @@ from plumbline.operators import temporal as W
 from plumbline.options import ComputeOptions
 from plumbline.plans.kinds import ColumnPlan, classify, select_columns
 from plumbline.plans.spread import kept
+from plumbline.plans.together import together
 
 SCHEMA_VERSION = 2
 #: Statistics that are defined for a column without values: fixed values.
@@ -84,17 +86,28 @@ def numeric_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOption
     with kept(df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns.values())])) as held:
         own = {c: F.col(f"x{i}") for i, c in enumerate(columns)}
         clean = {c: N.N.finite(x) + 0.0 for c, x in own.items()}
-        scan = _by_column(N.scan(held, own))
-        facts = _by_column(N.level_counts(held, own) if exact else S.distinct(held, clean, options.hll_bits))
-        devs = _by_column(N.deviations(held, own, exact=exact))
-        few = [c for c in columns if N.top_values_tracked(facts.get(c, {}).get("unique", 0), options.top_k)]
-        counted = {c: clean[c] for c in few}
-        tops = _lists((C.top_items(C.levels(held, counted), options.top_k) if exact else S.frequent_values(held, counted, options.top_k)), "rank") if few else {}
-        limits = {c: (scan[c]["min"], scan[c]["max"]) for c in columns}
-        bins = _lists(N.histogram(held, own, limits), "bin")
-        steps = _by_column(N.granularity(held, own, None if exact else options.numeric_sample_size))
-    order = _ordered(df, columns, options)
-    ends = _lists(N.extremes(indexed, columns, F.col("__row_index")), "rank")
+
+        def moments() -> tuple[dict, dict, dict]:
+            scan = _by_column(N.scan(held, own))
+            limits = {c: (scan[c]["min"], scan[c]["max"]) for c in columns}
+            return scan, limits, _lists(N.histogram(held, own, limits), "bin")
+
+        def frequent() -> tuple[dict, list[str], dict]:
+            facts = _by_column(N.level_counts(held, own) if exact else S.distinct(held, clean, options.hll_bits))
+            few = [c for c in columns if N.top_values_tracked(facts.get(c, {}).get("unique", 0), options.top_k)]
+            counted = {c: clean[c] for c in few}
+            tops = _lists((C.top_items(C.levels(held, counted), options.top_k) if exact else S.frequent_values(held, counted, options.top_k)), "rank") if few else {}
+            return facts, few, tops
+
+        (scan, limits, bins), (facts, few, tops), devs, steps, order, ends = together(
+            df.sparkSession,
+            moments,
+            frequent,
+            lambda: _by_column(N.deviations(held, own, exact=exact)),
+            lambda: _by_column(N.granularity(held, own, None if exact else options.numeric_sample_size)),
+            lambda: _ordered(df, columns, options),
+            lambda: _lists(N.extremes(indexed, columns, F.col("__row_index")), "rank"),
+        )
     out = {}
     for p in plans:
         s, d, step = scan[p.name], devs.get(p.name, {}), steps[p.name]
@@ -164,15 +177,20 @@ def datetime_stats(df: DataFrame, plans: list[ColumnPlan], options: ComputeOptio
     columns = {p.name: p.values for p in plans}
     if not columns:
         return {}
-    scan, tallies = _by_column(W.scan(df, columns)), W.calendar(df, columns)
+    tallies = W.calendar(df, columns)
+    stamps = {c: W.micros(x) for c, x in columns.items()}
+    scan, counted, seasons, facts, order, gaps_of = together(
+        df.sparkSession,
+        lambda: _by_column(W.scan(df, columns)),
+        tallies.collect,
+        lambda: _by_column(W.seasonal(tallies)),
+        lambda: _by_column(S.distinct(df, stamps, options.hll_bits) if options.approximate else C.level_facts(C.levels(df, stamps))),
+        lambda: _ordered(df, stamps, options),
+        lambda: _by_column(W.intervals(df, columns)),
+    )
     cal: dict[str, dict[str, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
-    for r in tallies.collect():
+    for r in counted:
         cal[r["column_name"]][r["part"]][r["bucket"]] = r["n"]
-    seasons = _by_column(W.seasonal(tallies))
-    stamps = {c: W.micros(x) for c, x in columns.items()}
-    facts = _by_column(S.distinct(df, stamps, options.hll_bits) if options.approximate else C.level_facts(C.levels(df, stamps)))
-    order = _ordered(df, stamps, options)
-    gaps_of = _by_column(W.intervals(df, columns))
     zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
     out = {}
     for p in plans:
@@ -212,12 +230,9 @@ def missing_by_position(indexed: DataFrame, names: list[str], rows: int, chunk:
 
 
 def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool = True, tell: Callable[[str], None] | None = None, keep: Callable[[int, dict], None] | None = None) -> dict[str, Any]:
-    """The statistics of a table: {schema_version, dataset, columns}. ``keep`` gets what there is after each kind of columns."""
+    """The statistics of a table: {schema_version, dataset, columns}. ``keep`` gets what there is after each kind of columns, in the order in which they end; ``tell`` and ``keep`` are called one at a time."""
     keep = keep or (lambda step, so_far: None)
 
-    def snapshot(step: int) -> None:
-        keep(step, {"schema_version": SCHEMA_VERSION, "dataset": {}, "columns": {c: published(s) for c, s in stats.items()}})
-
     options, tell = options or ComputeOptions(), tell or (lambda step: None)
     whole = df
     df = select_columns(df, options.columns)
@@ -227,25 +242,39 @@ def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool
     known_order = bool(options.order_by) or O.has_order(df)
     indexed = O.with_row_index(whole.orderBy(*options.order_by), "__row_index", ordered=True) if options.order_by else O.with_row_index(df, "__row_index")
     stats: dict[str, dict[str, Any]] = {}
-    tell("numeric")
     source = whole if options.order_by else df
-    stats |= numeric_stats(source, of["numeric"], options, indexed, known_order)
-    snapshot(1)
-    tell("categorical")
-    stats |= categorical_stats(df, of["categorical"], options)
-    snapshot(2)
-    tell("datetime")
-    stats |= datetime_stats(source, of["datetime"], options, known_order)
-    stats |= boolean_stats(df, of["boolean"])
-    snapshot(3)
-    tell("dataset")
     exact = not options.approximate if options.exact_duplicates is None else options.exact_duplicates
-    dup = D.duplicates(df, approximate=not exact).first()
-    if options.compute_correlations and len(of["numeric"]) > 1:
+    correlated = options.compute_correlations and len(of["numeric"]) > 1
+
+    def partners() -> list:
         pairs = D.correlations(df, {p.name: p.values for p in of["numeric"]}, options.corr_max_cols)
-        for r in sorted(D.correlation_partners(pairs).collect(), key=lambda r: (r["column_name"], r["rank"])):
-            if abs(r["r"]) >= options.corr_threshold and len(stats[r["column_name"]]["corr_top"]) < options.corr_max_per_col:
-                stats[r["column_name"]]["corr_top"].append((r["partner"], r["r"]))
+        return sorted(D.correlation_partners(pairs).collect(), key=lambda r: (r["column_name"], r["rank"]))
+
+    one, ended = threading.Lock(), 0
+
+    def kind(name: str, compute: Callable[[], dict[str, dict[str, Any]]]) -> None:
+        nonlocal ended
+        with one:
+            tell(name)
+        found = compute()
+        with one:
+            ended += 1
+            stats.update(found)
+            keep(ended, {"schema_version": SCHEMA_VERSION, "dataset": {}, "columns": {c: published(s) for c, s in stats.items()}})
+
+    dup, near, *_ = together(
+        df.sparkSession,
+        lambda: D.duplicates(df, approximate=not exact).first(),
+        lambda: partners() if correlated else [],
+        lambda: kind("numeric", lambda: numeric_stats(source, of["numeric"], options, indexed, known_order)),
+        lambda: kind("categorical", lambda: categorical_stats(df, of["categorical"], options)),
+        lambda: kind("datetime", lambda: datetime_stats(source, of["datetime"], options, known_order)),
+        lambda: kind("boolean", lambda: boolean_stats(df, of["boolean"])),
+    )
+    tell("dataset")
+    for r in near:
+        if abs(r["r"]) >= options.corr_threshold and len(stats[r["column_name"]]["corr_top"]) < options.corr_max_per_col:
+            stats[r["column_name"]]["corr_top"].append((r["partner"], r["r"]))
     rows, cols = dup["rows"], len(df.columns)
     lost = {c: stats[c]["missing"] for c in df.columns}
     cells, total = rows * cols, sum(lost.values())
