@@ -12,6 +12,10 @@ from plumbline.errors import ConfigurationError
 KINDS = ("numeric", "categorical", "datetime", "boolean")
 
 
+#: What texts are tried as, from least to most.
+STRATEGIES = ("conservative", "balanced", "aggressive")
+
+
 @dataclass
 class ComputeOptions:
     """What is computed.
@@ -24,7 +28,9 @@ class ComputeOptions:
     ``numeric_sample_size`` and ``max_uniques`` bound what is estimated from samples and
     sketches in approximate mode, and ``max_uniques`` also the levels up to which
     singletons are told. ``corr_max_per_col`` is the number of partners that a column
-    lists. Every ``log_every_n_chunks``-th step of a profile is logged, and after every
+    lists. ``inference`` says what texts are tried as, if ``infer_strings`` is set: numbers
+    ("conservative"), times as well ("balanced"), or truth values too ("aggressive").
+    Every ``log_every_n_chunks``-th step of a profile is logged, and after every
     ``checkpoint_every_n_chunks``-th the statistics so far are written to
     ``checkpoint_dir``, of which the newest ``checkpoint_max_to_keep`` stay.
     """
@@ -52,6 +58,7 @@ class ComputeOptions:
     corr_max_cols: int = 50
     corr_max_per_col: int = 10
     infer_strings: bool = True
+    inference: str = "balanced"
     approximate: bool = False
     exact_duplicates: bool | None = None
     order_by: list[str] | None = None
@@ -72,6 +79,8 @@ class ComputeOptions:
                 raise ConfigurationError(f"{name} must be a positive integer, not {value!r}")
         if self.chunk_size is not None and (isinstance(self.chunk_size, bool) or not isinstance(self.chunk_size, int) or self.chunk_size < 1):
             raise ConfigurationError(f"chunk_size must be a positive integer or None, not {self.chunk_size!r}")
+        if self.inference not in STRATEGIES:
+            raise ConfigurationError(f"inference is {self.inference!r}; there are {', '.join(STRATEGIES)}")
         if self.checkpoint_every_n_chunks < 0:
             raise ConfigurationError("checkpoint_every_n_chunks must not be negative")
         for name in ("boolean_detection_max_zero_ratio", "corr_threshold"):

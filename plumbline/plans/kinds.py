@@ -1,7 +1,7 @@
 """Which kind each column is, and the typed expression that its statistics are taken of.
 
-The schema decides most columns without a job. Text columns are probed on a prefix of
-rows in reading order, numeric columns for 0/1 and few levels over the whole table.
+The schema decides most columns without a job. Text columns are probed for times, numbers
+and truth values, numeric columns for 0/1 and few levels, each in one scan of all rows.
 """
 
 from __future__ import annotations
@@ -16,9 +16,14 @@ from pyspark.sql import types as T
 from plumbline.functions import numbers as N
 from plumbline.operators import boolean as B
 from plumbline.options import ComputeOptions
-
-#: Rows of the prefix, non-null texts that are tried as times, the share that must parse, the earliest year, and levels of a categorical number.
-PROBE_ROWS, PROBE_TIMES, PARSED, LEAST_YEAR, FEW_LEVELS = 10_000, 200, 0.8, 1000, 50
+from plumbline.plans.together import together
+
+#: The share of texts that must parse, the earliest year, and levels of a categorical number: fixed values.
+PARSED, LEAST_YEAR, FEW_LEVELS = 0.8, 1000, 50
+#: Texts longer than this are no times.
+LONGEST_TIME = 64
+#: Texts that are truth values, for columns where these are looked for: fixed values.
+TRUTH = ("true", "false", "1", "0", "yes", "no")
 #: Formats that texts are tried as, in this order: fixed values.
 TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd")
 _BOOLEAN_NAME = re.compile(r"^(is|has|can|should|was|did|flag|enabled|active)(_|$)|(_flag|_ind|_yn|_bool)$", re.I)
@@ -57,30 +62,45 @@ def _by_schema(kind: T.DataType) -> str | None:
     return "text" if isinstance(kind, (T.StringType, T.CharType, T.VarcharType)) else "categorical"
 
 
-def _probe(df: DataFrame, texts: list[str]) -> dict[str, str]:
-    """Kinds of text columns: times if more than PARSED of the first non-nulls parse by one format, numbers if more than PARSED of all rows of the prefix do."""
-    if not texts:
-        return {}
-    head = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(texts)]).limit(PROBE_ROWS)
-    first = head.agg(
-        *[F.slice(F.collect_list(f"c{i}"), 1, PROBE_TIMES).alias(f"t{i}") for i in range(len(texts))],
-        *[F.avg(F.coalesce(N.looks_numeric(F.trim(f"c{i}")), F.lit(False)).cast("int")).alias(f"n{i}") for i in range(len(texts))],
-    )
+def _shape(fmt: str) -> str:
+    """What a text of a format looks like: a digit for each letter."""
+    return "^" + re.sub(r"[A-Za-z]+|'T'", lambda m: "T" if m[0] == "'T'" else r"\d{%d}" % len(m[0]), fmt) + "$"
 
-    def fits(fmt: str | None):
-        def test(v: Column) -> Column:
-            t = v.try_cast("timestamp") if fmt is None else parse_time(v, fmt)
-            looks = v.rlike(r"\d{4}.*\d|\d.*\d{4}") if fmt is None else F.lit(True)
-            return F.coalesce(looks & t.isNotNull() & (F.year(t) >= LEAST_YEAR), F.lit(False))
 
-        return test
+def _fits(v: Column, fmt: str | None) -> Column:
+    """Whether a text is a time of a format, or of any that a cast knows; only texts that look like one are parsed."""
+    looks = (F.length(v) <= LONGEST_TIME) & (v.rlike(r"\d{4}.*\d|\d.*\d{4}") if fmt is None else v.rlike(_shape(fmt)))
+    t = v.try_cast("timestamp") if fmt is None else parse_time(v, fmt)
+    return F.coalesce(F.when(looks, t.isNotNull() & (F.year(t) >= LEAST_YEAR)), F.lit(False))
 
-    def parses(i: int) -> Column:
-        shares = [F.try_divide(F.size(F.filter(f"t{i}", fits(fmt))), F.size(f"t{i}")) for fmt in (*TIME_FORMATS, None)]
-        return F.coalesce(F.greatest(*shares), F.lit(0.0)).alias(f"d{i}")
 
-    found = first.select(*[parses(i) for i in range(len(texts))], *[f"n{i}" for i in range(len(texts))]).first()
-    return {c: "datetime" if found[f"d{i}"] > PARSED else "numeric" if (found[f"n{i}"] or 0) > PARSED else "categorical" for i, c in enumerate(texts)}
+def _probe(df: DataFrame, texts: list[str], strategy: str = "balanced") -> dict[str, str]:
+    """Kinds of text columns over all rows.
+
+    Times if more than PARSED of the non-nulls parse by one format, unless the strategy is
+    "conservative"; else numbers if more than PARSED of all rows do; else truth values, if
+    it is "aggressive" and more than PARSED of all rows are such.
+    """
+    if not texts:
+        return {}
+    formats = () if strategy == "conservative" else (*TIME_FORMATS, None)
+    asks = []
+    for i, c in enumerate(texts):
+        v = F.col(f"`{c}`")
+        asks += [F.count(F.lit(1)).alias(f"rows{i}"), F.count(v).alias(f"known{i}"), F.count_if(N.looks_numeric(F.trim(v))).alias(f"numbers{i}")]
+        asks += [F.count_if(_fits(v, fmt)).alias(f"times{i}_{k}") for k, fmt in enumerate(formats)]
+        if strategy == "aggressive":
+            asks.append(F.count_if(F.lower(v).isin(*TRUTH)).alias(f"truth{i}"))
+    found = df.agg(*asks).first().asDict()
+
+    def kind(i: int) -> str:
+        if max((found[f"times{i}_{k}"] for k in range(len(formats))), default=0) > PARSED * found[f"known{i}"]:
+            return "datetime"
+        if found[f"numbers{i}"] > PARSED * found[f"rows{i}"]:
+            return "numeric"
+        return "boolean" if found.get(f"truth{i}", 0) > PARSED * found[f"rows{i}"] else "categorical"
+
+    return {c: kind(i) for i, c in enumerate(texts)}
 
 
 def _few_levels(df: DataFrame, columns: dict[str, Column], options: ComputeOptions, complete: bool) -> dict[str, str]:
@@ -112,10 +132,14 @@ def classify(df: DataFrame, options: ComputeOptions | None = None, complete: boo
     forced = options.force_column_types or {}
     fields = {f.name: f.dataType for f in df.schema.fields}
     kinds = {name: forced.get(name) or _by_schema(kind) for name, kind in fields.items()}
-    probed = _probe(df, [c for c, k in kinds.items() if k == "text"]) if options.infer_strings else {}
+    own = {c: N.as_double(F.col(f"`{c}`"), fields[c]) for c, k in kinds.items() if k == "numeric" and c not in forced and isinstance(fields[c], T.NumericType)}
+    probed, again = together(
+        df.sparkSession,
+        lambda: _probe(df, [c for c, k in kinds.items() if k == "text"], options.inference) if options.infer_strings else {},
+        lambda: _few_levels(df, own, options, complete),
+    )
     kinds = {c: probed.get(c, "categorical") if k == "text" else k for c, k in kinds.items()}
     numbers = {c: N.as_double(F.col(f"`{c}`"), fields[c]) for c, k in kinds.items() if k == "numeric"}
-    again = _few_levels(df, {c: x for c, x in numbers.items() if c not in forced and isinstance(fields[c], T.NumericType)}, options, complete)
     plans = []
     for name, kind in fields.items():
         c, final = F.col(f"`{name}`"), again.get(name, kinds[name])

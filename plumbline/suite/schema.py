@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.catalog import register
 from plumbline.functions import numbers as N
 from plumbline.operators import temporal as W
-from plumbline.options import ComputeOptions
+from plumbline.options import STRATEGIES, ComputeOptions
 from plumbline.plans import kinds as O
 from plumbline.plans import profile as P
 from plumbline.sources import readers
@@ -35,6 +35,25 @@ def kind_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "column_name string, kind string")
 
 
+_TEXTS = {
+    "mostly_days": "CASE WHEN o_orderkey % 10 < 9 THEN o_day ELSE 'n/a' END", "days_and_gaps": "CASE WHEN o_orderkey % 4 = 0 THEN o_day END", "late_words": "CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE o_day END",
+    "mostly_numbers": "CASE WHEN o_orderkey % 10 < 9 THEN CAST(o_custkey AS STRING) ELSE 'n/a' END", "numbers_and_gaps": "CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey AS STRING) END", "truths": "CASE WHEN o_custkey % 2 = 0 THEN 'Yes' ELSE 'no' END",
+}
+
+
+@register("infer_text_kinds", f"""
+WITH o AS (SELECT *, strftime(o_orderdate, '%d/%m/%Y') AS o_day FROM orders), t AS (SELECT {', '.join(f'{x.replace("STRING", "VARCHAR")} AS {c}' for c, x in _TEXTS.items())} FROM o),
+x AS (UNPIVOT (SELECT {', '.join(f"coalesce({c}, '') AS {c}" for c in _TEXTS)} FROM t) ON COLUMNS(*) INTO NAME column_name VALUE v),
+s AS (SELECT column_name, count(*) AS n, count(nullif(v, '')) AS known, count(try_strptime(v, '%d/%m/%Y')) AS days, count(TRY_CAST(v AS DOUBLE)) AS numbers, count(*) FILTER (lower(v) IN ('true', 'false', '1', '0', 'yes', 'no')) AS truths FROM x GROUP BY ALL),
+k AS (SELECT column_name, unnest(['conservative', 'balanced', 'aggressive']) AS inference, n, known, days, numbers, truths FROM s)
+SELECT inference, column_name, CASE WHEN inference <> 'conservative' AND days > 0.8 * known THEN 'datetime' WHEN numbers > 0.8 * n THEN 'numeric' WHEN inference = 'aggressive' AND truths > 0.8 * n THEN 'boolean' ELSE 'categorical' END AS kind FROM k""")
+def infer_text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What texts are taken for, over all rows, by each strategy."""
+    df = table(spark, sf_dir, "orders").withColumn("o_day", F.date_format("o_orderdate", "dd/MM/yyyy")).select(*[F.expr(x).alias(c) for c, x in _TEXTS.items()])
+    found = [(s, p.name, p.kind) for s in STRATEGIES for p in O.classify(df, ComputeOptions(inference=s))]
+    return spark.createDataFrame(found, "inference string, column_name string, kind string")
+
+
 @register("reclass_rules", """
 SELECT 'quality' AS column_name, count(*) >= 100 AND min(quality) = 0 AND max(quality) = 1 AND count(*) FILTER (quality NOT IN (0, 1)) = 0 AND count(*) FILTER (quality = 0) / count(*) <= 0.8 AS is_boolean, count(DISTINCT quality) <= 50 AS few_levels FROM labels
 UNION ALL SELECT 'toxic', count(*) >= 100 AND min(toxic) = 0 AND max(toxic) = 1 AND count(*) FILTER (toxic NOT IN (0, 1)) = 0 AND count(*) FILTER (toxic = 0) / count(*) <= 0.8, count(DISTINCT toxic) <= 50 FROM labels""")

@@ -14,6 +14,7 @@ from plumbline.errors import ConfigurationError, PlumblineError, UnsupportedData
 from plumbline.operators import check as K
 from plumbline.operators import numeric, quantiles
 from plumbline.plans.kinds import classify, unique_names
+from plumbline.plans.together import together
 from plumbline.sources import readers, sinks
 
 FAST = {"correlations": False}
@@ -222,6 +223,25 @@ def test_snapshots_and_checked_thresholds(spark, tmp_path):
         K.Thresholds.from_file(tmp_path / "t.txt")
 
 
+def test_kinds_of_texts_are_of_all_rows(spark):
+    df = spark.range(0, 30_000, numPartitions=4).select(
+        F.when(F.col("id") < 12_000, "2024-01-05").otherwise("none").alias("first_days"), F.when(F.col("id") < 12_000, "none").otherwise("2024-01-05 10:00:00").alias("later_times"),
+        F.when(F.col("id") < 1_000, "none").otherwise("2024-01-05T10:00:00.5+01:00").alias("with_zone"), F.repeat(F.lit("1234 5"), 1_000).alias("long"), F.lit(None).cast("string").alias("nothing"), F.lit("0099-01-01").alias("too_early"),
+    )
+    found = {p.name: p.kind for p in classify(df)}
+    assert found == {"first_days": "categorical", "later_times": "categorical", "with_zone": "datetime", "long": "categorical", "nothing": "categorical", "too_early": "categorical"}
+    assert {p.kind for p in classify(df.limit(0))} == {"categorical"}
+    with pytest.raises(ConfigurationError):
+        plumbline.ComputeOptions(inference="wild")
+
+
+def test_jobs_together_end_before_an_error_is_raised(spark):
+    ended = []
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1 / 0, lambda: ended.append(spark.range(10).count()))
+    assert ended == [10] and together(spark, lambda: 1, lambda: 2) == [1, 2]
+
+
 def test_long_texts_are_counted_by_digests(spark):
     long = "x" * 500
     df = spark.createDataFrame([(long + "1",)] * 3 + [(long + "2",)] * 2 + [("short",)] * 4 + [(None,)], "t string")
