@@ -103,7 +103,7 @@ def profile(data: Any, config: ProfileConfig | None = None, *, preset: str | Non
     rows = [r.asDict() for r in D.sample_rows(shown, cfg.compute.random_seed, cfg.render.sample_rows).collect()] if cfg.render.include_sample and shown.columns else []
     flags = [r.asDict() for r in P.flag_table(df.sparkSession, stats).collect()]
     title = cfg.render.title or (Path(data).name if isinstance(data, (str, Path)) else "Dataset profile")
-    return Report(H.page(stats, flags, rows, title, cfg.render.description), stats)
+    return Report(H.page(stats, flags, rows, title, cfg.render.description, cfg.render.columns_per_page), stats)
 
 
 def compare(before: Any, after: Any, *, seed: int = 0, **options: Any) -> C.Comparison:

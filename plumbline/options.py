@@ -99,6 +99,11 @@ class RenderOptions:
     description: str | None = None
     include_sample: bool = True
     sample_rows: int = 10
+    columns_per_page: int = 50
+
+    def __post_init__(self) -> None:
+        if isinstance(self.columns_per_page, bool) or not isinstance(self.columns_per_page, int) or self.columns_per_page < 1:
+            raise ConfigurationError(f"columns_per_page must be a positive integer, not {self.columns_per_page!r}")
 
 
 @dataclass

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 
 
 def compact(value: float | None) -> str:
@@ -68,3 +69,16 @@ def ticks(lo: float, hi: float, n: int = 5) -> list[float]:
 def log_ticks(lo: float, hi: float) -> list[float]:
     """Powers of ten from lo to hi, both above zero."""
     return [10.0**k for k in range(math.ceil(math.log10(lo)), math.floor(math.log10(hi)) + 1)]
+
+
+#: Words of column names, and the units they stand for: fixed values.
+UNITS = {
+    "usd": "USD", "eur": "EUR", "gbp": "GBP", "pct": "%", "percent": "%", "ms": "ms", "sec": "s", "secs": "s", "seconds": "s", "minutes": "min", "hours": "h", "days": "days",
+    "km": "km", "kg": "kg", "cm": "cm", "mm": "mm", "bytes": "B", "kb": "KB", "mb": "MB", "gb": "GB", "years": "years",
+}
+
+
+def unit(name: str) -> str:
+    """The unit that the last or else the first word of a column's name stands for; empty if neither does."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1_\2", name).lower()) if w]
+    return next((UNITS[w] for w in (words[-1:] + words[:1]) if w in UNITS), "")

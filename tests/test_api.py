@@ -13,8 +13,11 @@ from plumbline import cli
 from plumbline.errors import ConfigurationError, PlumblineError, UnsupportedDataError
 from plumbline.operators import check as K
 from plumbline.operators import numeric, quantiles
+from plumbline.plans import profile as P
 from plumbline.plans.kinds import classify, unique_names
 from plumbline.plans.together import together
+from plumbline.report import format, html
+from plumbline.report.glossary import MEANING
 from plumbline.sources import readers, sinks
 
 FAST = {"correlations": False}
@@ -72,6 +75,20 @@ def test_page(spark, frame):
     report = plumbline.profile(frame.head(60), title="<b>T</b>", **FAST)
     assert "&lt;b&gt;T&lt;/b&gt;" in report.html and "<b>T" not in report.html
     assert all(f'data-name="{c}"' in report.html for c in frame.columns)
+    flags = [r["flag"] for r in P.flag_table(spark, report.stats).collect()]
+    assert flags and all(MEANING[f].replace("'", "&#x27;") in report.html for f in flags)
+    assert 'id="cards" data-size="50"' in report.html and 'contenteditable="true"' in report.html
+
+
+def test_axes_units_and_shares():
+    assert [format.unit(c) for c in ("price_usd", "waitMs", "kg_total", "total", "x_days", "")] == ["USD", "ms", "kg", "", "days", ""]
+    s = {"true_histogram_edges": [0.0, 1.0, 2.0], "true_histogram_counts": [30, 10], "q1": 0.5, "q3": 0.9, "iqr": 0.4}
+    chart = html.histogram("wait_ms", s)
+    assert chart.count("<rect") == 2 and chart.count('class="fence"') == 1 and ">ms</text>" in chart and chart.endswith("</svg>")
+    assert html.histogram("x", {**s, "true_histogram_edges": [], "iqr": None}) == ""
+    assert html.kinds_bar({"numeric": (3, 75), "boolean": (1, 25)}).count("<rect") == 2
+    with pytest.raises(ConfigurationError):
+        plumbline.RenderOptions(columns_per_page=0)
 
 
 def test_compare_and_check(spark, frame, stats, tmp_path):
