@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterable, Iterator
 from functools import reduce
 from pathlib import Path
@@ -212,17 +213,47 @@ def read(data: Any, spark: SparkSession | None = None) -> DataFrame:
     raise UnsupportedDataError(f"no reader for {type(data).__name__}")
 
 
-def chunks(data: Any, chunk_size: int, spark: SparkSession | None = None) -> Iterator[pa.Table]:
-    """The rows of any data in tables of ``chunk_size`` rows, one partition at a time on the driver."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["piece"])
+
+
+def chunks(data: Any, chunk_size: int | None = None, spark: SparkSession | None = None) -> Iterator[pa.Table]:
+    """The rows of any data in tables of ``chunk_size`` rows, the last of fewer; None leaves the pieces as executors make them.
+
+    Rows travel as Arrow batches, a partition at a time; no row becomes a Python object, and
+    the driver holds a chunk and a partition. Data without rows or columns give no table.
+    """
+    if chunk_size is not None and chunk_size < 1:
+        raise UnsupportedDataError(f"chunk_size must be positive, not {chunk_size}")
     df = read(data, spark)
-    held: list[Any] = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row.asDict())
-        if len(held) == chunk_size:
-            yield pa.Table.from_pylist(held)
-            held = []
+    held: list[pa.Table] = []
+    for row in df.mapInArrow(_packed, "piece binary").toLocalIterator() if df.columns else ():
+        piece = pa.ipc.open_stream(row["piece"]).read_all()
+        if chunk_size is None:
+            if piece.num_rows:
+                yield piece
+            continue
+        while piece.num_rows:
+            wanted = chunk_size - sum(t.num_rows for t in held)
+            held.append(piece.slice(0, wanted))
+            piece = piece.slice(wanted)
+            if sum(t.num_rows for t in held) == chunk_size:
+                yield pa.concat_tables(held)
+                held = []
     if held:
-        yield pa.Table.from_pylist(held)
+        yield pa.concat_tables(held)
+
+
+def chunks_with_metrics(data: Any, chunk_size: int | None = None, spark: SparkSession | None = None) -> Iterator[tuple[pa.Table, dict[str, float]]]:
+    """``chunks``, each with its number, first row, rows, bytes and the seconds that it took to come."""
+    start, began = 0, time.perf_counter()
+    for number, table in enumerate(chunks(data, chunk_size, spark)):
+        yield table, {"chunk": number, "start_row": start, "rows": table.num_rows, "bytes": table.nbytes, "seconds": time.perf_counter() - began}
+        start, began = start + table.num_rows, time.perf_counter()
 
 
 def partition_sizes(df: DataFrame) -> DataFrame:

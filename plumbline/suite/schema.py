@@ -142,7 +142,7 @@ def ds_quick_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(spark.createDataFrame([(summary["dataset"]["rows_est"], f["complete"], f["first_ts"], f["last_ts"], f["text_columns"])], "rows long, complete int, first_ts long, last_ts long, text_columns int"))
 
 
-@register("io_chunks", tidy_sql("SELECT i // 4096 AS chunk, count(*) AS rows FROM (SELECT row_number() OVER () - 1 AS i FROM orders) GROUP BY ALL", "", "chunk"))
+@register("io_chunks", tidy_sql("SELECT i // 4096 AS chunk, min(i) AS start_row, count(*) AS rows FROM (SELECT row_number() OVER () - 1 AS i FROM orders) GROUP BY ALL", "", "chunk start_row"))
 def io_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = [t.num_rows for t in readers.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), 4096)]
-    return tidy(spark.createDataFrame(list(enumerate(sizes)), "chunk long, rows long"))
+    found = [(m["chunk"], m["start_row"], m["rows"]) for _, m in readers.chunks_with_metrics(table(spark, sf_dir, "orders").select("o_orderkey"), 4096)]
+    return tidy(spark.createDataFrame(found, "chunk long, start_row long, rows long"))

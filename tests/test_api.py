@@ -172,6 +172,10 @@ def test_command_line(spark, frame, tmp_path, capsys):
     (tmp_path / "t.toml").write_text("[tool.x.check]\nmin_rows = 1000\n")
     assert cli.main(["check", path, "--baseline", str(tmp_path / "b.json"), "--thresholds", str(tmp_path / "t.toml"), "--json"]) == 1
     assert cli.main(["check", path, "--thresholds", str(tmp_path / "t.toml"), "--warn-only"]) == 0
+    assert cli.main(["check", path, "--thresholds", str(tmp_path / "t.toml"), "--min-rows", "300", "-q"]) == 0
+    assert cli.main(["check", path, "--min-rows", "301", "--fail-on-new-column", "-q"]) == 1
+    assert cli.main(["check", path, "--max-age", "soon"]) == 2 and cli.main(["check", path, "--max-missing-pct", "-1"]) == 2
+    assert cli.main(["--version"]) == 0 and "plumbline" in capsys.readouterr().out
     assert cli.main(["check", str(tmp_path / "none.parquet")]) == 2
     assert cli.main(["nonsense"]) == 2
 
@@ -228,6 +232,17 @@ def test_sources_are_read_piece_by_piece(spark, monkeypatch):
     assert df.count() == 900 and df.agg(F.sum("u")).first()[0] == 600
 
 
+def test_chunks_are_tables_of_a_size(spark):
+    df = spark.range(0, 1000, numPartitions=3).select("id", F.array("id").alias("list"), F.when(F.col("id") % 2 == 0, "x").alias("t"))
+    found = list(readers.chunks_with_metrics(df, 300))
+    assert [m["rows"] for _, m in found] == [300, 300, 300, 100] and [m["start_row"] for _, m in found] == [0, 300, 600, 900]
+    whole = pa.concat_tables([t for t, _ in found])
+    assert whole.column("id").to_pylist() == list(range(1000)) and whole.column("list")[7].as_py() == [7] and whole.column("t").null_count == 500
+    assert sum(t.num_rows for t in readers.chunks(df)) == 1000 and list(readers.chunks(df.limit(0), 5)) == []
+    with pytest.raises(UnsupportedDataError):
+        next(readers.chunks(df, 0))
+
+
 def test_snapshots_and_checked_thresholds(spark, tmp_path):
     compute = plumbline.ComputeOptions(checkpoint_every_n_chunks=1, checkpoint_dir=str(tmp_path / "c"), checkpoint_max_to_keep=2, checkpoint_write_html=True, compute_correlations=False)
     plumbline.summarize(spark.range(20).select("id", F.lit("a").alias("t")), plumbline.ProfileConfig(compute=compute))
