@@ -81,12 +81,18 @@ class Counted:
     flagged: int = 0
 
     def bucket(self, v: Column) -> Column:
-        out = None
+        """The interval of a value, by halving: a value is compared with a few of the bounds."""
+        tests = []  # in the order of the values: each holds for its bucket and those before it
         for k, (lo, hi) in enumerate(self.intervals):
-            for at, test in ((4 * k, v < lo), (4 * k + 1, v == lo), (4 * k + 2, v < hi), (4 * k + 3, v == hi)):
-                if at % 4 < 2 or hi > lo:
-                    out = F.when(test, at) if out is None else out.when(test, at)
-        return F.lit(0) if out is None else out.otherwise(4 * len(self.intervals))
+            tests += [(4 * k, v < lo), (4 * k + 1, v <= lo)] + ([(4 * k + 2, v < hi), (4 * k + 3, v <= hi)] if hi > lo else [])
+
+        def among(a: int, b: int) -> Column:
+            if a == b:
+                return F.lit(tests[a][0] if a < len(tests) else 4 * len(self.intervals))
+            middle = (a + b) // 2
+            return F.when(tests[middle][1], among(a, middle)).otherwise(among(middle + 1, b))
+
+        return among(0, len(tests)) if tests else F.lit(0)
 
     def at(self, rank: int) -> tuple[float | None, tuple[float, float] | None]:
         """The value of a rank, or a narrower bracket of it."""
