@@ -20,6 +20,7 @@ from plumbline.operators import dataset as D
 from plumbline.options import ComputeOptions, ProfileConfig, resolve
 from plumbline.plans import profile as P
 from plumbline.plans.kinds import select_columns
+from plumbline.plans.together import together
 from plumbline.report import html as H
 from plumbline.sources import readers, sinks
 
@@ -108,8 +109,12 @@ def profile(data: Any, config: ProfileConfig | None = None, *, preset: str | Non
 
 def compare(before: Any, after: Any, *, seed: int = 0, **options: Any) -> C.Comparison:
     """What changed between two datasets, or payloads of them."""
-    payload = lambda side: side if isinstance(side, Mapping) and "columns" in side and "dataset" in side else summarize(side, seed=seed, **options)
-    return C.compare_payloads(payload(before), payload(after))
+    sides = [before, after]
+    new = [i for i, side in enumerate(sides) if not (isinstance(side, Mapping) and "columns" in side and "dataset" in side)]
+    if new:  # payloads alone need no session
+        for i, found in zip(new, together(readers.session(), *[lambda side=sides[i]: summarize(side, seed=seed, **options) for i in new]), strict=True):
+            sides[i] = found
+    return C.compare_payloads(*sides)
 
 
 def check(data: Any, baseline: Any = None, thresholds: K.Thresholds | None = None, *, now: float | None = None, **options: Any) -> K.CheckResult:

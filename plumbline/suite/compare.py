@@ -14,6 +14,7 @@ from plumbline.operators import dataset as D
 from plumbline.operators import numeric as N
 from plumbline.operators import quantiles as Q
 from plumbline.operators import temporal as W
+from plumbline.plans.together import together
 from plumbline.suite.common import table, tidy, tidy_sql
 
 _SPLIT = "a AS (SELECT * FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice > 60000)"
@@ -43,7 +44,7 @@ SELECT x.column_name, (y.mean - x.mean) / x.std AS mean_shift_sigma, (y.median -
        "mean_shift_sigma median_shift_sigma q1_shift_sigma q3_shift_sigma std_ratio min_before min_after max_before max_after"))
 def cmp_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = halves(spark, sf_dir)
-    return tidy(O.numeric_changes(_numbers(a), _numbers(b)))
+    return tidy(O.numeric_changes(*together(spark, lambda: _numbers(a), lambda: _numbers(b))))
 
 
 @register("cmp_schema", """
