@@ -3,8 +3,10 @@
 Texts are cut into blocks of BLOCK words. Document frequencies are counted over the blocks
 of all documents, hashed to TERMS terms. RANK directions tell only so many items apart, so
 the benchmark is dealt to groups of about GROUP_PASSAGES passages. For each group a
-distributed randomised SVD of the TF-IDF vectors of passages (a bounded sample of the
-corpus, and the group's) gives each term RANK latent coordinates; the latent vector of a
+distributed randomised SVD of the TF-IDF vectors of passages (all of the corpus, and the
+group's) gives each term RANK latent coordinates: one pass multiplies the passages' Gram
+matrix with a random basis, the same for all groups, a second measures it in the basis that
+each group gets from that. The latent vector of a
 passage is a sum over its terms, so a pass over the corpus sums blocks, adds them up to
 windows of two to four blocks, and multiplies windows with the passages of that length, and
 the longest with all. Pairs above a cosine are checked word by word: by the longest common subsequence
@@ -29,12 +31,14 @@ from plumbline.shared import durable, release
 
 #: Words of a block; blocks of a window, of which one begins at every block: the fewest that hold a passage wherever it begins, up to WINDOW.
 BLOCK, SHORT_WINDOW, WINDOW = 16, 2, 4
-#: Hashed terms, latent dimensions, extra dimensions of the random projection, passes over the passages.
-TERMS, RANK, EXTRA, POWERS = 1 << 15, 64, 8, 2
-#: Passages of the corpus that the SVD is fitted on, at most: those of the lowest hash. All documents count in the frequencies and are searched.
-FIT_PASSAGES = 8192
-#: What a benchmark passage weighs in the fit against one of the corpus: the directions are to tell items from the corpus and from one another.
+#: Hashed terms, latent dimensions, extra dimensions of the random projection.
+TERMS, RANK, EXTRA = 1 << 15, 64, 8
+#: What all passages of the corpus weigh together in the fit, at most, each the same; one weighs no more than 1.
+CORPUS_WEIGHT = 8192.0
+#: What a benchmark passage weighs in the fit: the directions are to tell items from the corpus and from one another.
 ITEM_WEIGHT = 20.0
+#: Passages in a row of the table that the fit reads, and those that a task of its first pass multiplies, about: a task returns 9 MB.
+PACK, TASK_PASSAGES = 32, 1 << 18
 #: Cosine from which a window is checked against an item.
 LEAST_COSINE = 0.75
 #: Shares of an item's words in order that make a copy, and with its answer a paraphrase; and the share of the answer.
@@ -43,6 +47,8 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 GROUP_PASSAGES, GROUPS_A_PASS = 256, 16
 _FOLD = vec.fold_table(keep_punctuation=False)
 _CHUNK = 2048
+_PASSAGE = WINDOW * BLOCK
+_FIT_CHUNK = 8192
 _MARK = re.compile(r"(?i)\banswer\s*:")
 _SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*")
 
@@ -69,85 +75,190 @@ def blocks_of(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.repeat(rows[first], count), np.repeat(first, count) + inner * BLOCK
 
 
+def passages_of(terms: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The passages (n, 64) of texts' blocks, padded with TERMS: each text cut into the fewest of at most WINDOW blocks, as even as can be. Terms are in order."""
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    size = np.diff(np.r_[first, len(rows)])
+    count = -(-size // WINDOW)
+    inner = np.arange(len(rows)) - np.repeat(first, size)
+    which = np.repeat(np.cumsum(count) - count, size) + inner * np.repeat(count, size) // np.repeat(size, size)
+    begins = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    out = np.full((len(begins), WINDOW, BLOCK), TERMS, np.uint16)
+    out[which, np.arange(len(rows)) - begins[which]] = terms
+    return np.sort(out.reshape(-1, _PASSAGE), axis=1)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's texts: the blocks that hold each term (term, n), the numbers of blocks and of passages (TERMS, n), (TERMS + 1, n), and passages of the lowest hashes (hash, terms)."""
-    seen, blocks, n_passages = np.zeros(TERMS + 2, np.int64), 0, 0
-    ranks, passages = np.zeros(0, np.int64), np.zeros((0, 4 * BLOCK), np.uint16)
+    """Of a task's texts: all passages, PACK in a row (terms); the blocks that hold each term (key, n), and the numbers of blocks and of passages (TERMS, n), (TERMS + 1, n)."""
+    seen = np.zeros(TERMS + 2, np.int64)
     for batch in batches:
         for _, data, offsets in vec.slabs(batch.column("text")):
             terms, rows, _ = blocks_of(*terms_of(data, offsets))
             if not len(terms):
                 continue
-            blocks += len(terms)
             ordered = np.sort(terms, axis=1)
             fresh = np.ones(terms.shape, bool)
             fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-            seen += np.bincount(ordered[fresh], minlength=TERMS + 2)
-            whole = np.flatnonzero((rows[3:] == rows[:-3]) & (np.arange(len(rows) - 3) % 4 == 0)) if len(rows) > 3 else np.zeros(0, np.int64)
-            n_passages += len(whole)
-            if len(whole):
-                found = np.concatenate([terms[whole + k] for k in range(4)], axis=1)
-                with np.errstate(over="ignore"):
-                    rank = (found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, 4 * BLOCK + 1, dtype=np.uint64)[None, :]).sum(axis=1)
-                    rank = ((rank ^ (rank >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-                ranks, passages = np.concatenate([ranks, rank]), np.concatenate([passages, found.astype(np.uint16)])
-                if len(ranks) > 4 * FIT_PASSAGES:
-                    ranks, passages = _lowest(ranks, passages)
-    ranks, passages = _lowest(ranks, passages)
-    seen[TERMS], seen[TERMS + 1] = blocks, n_passages
+            blocks = np.bincount(ordered[fresh], minlength=TERMS + 1)  # the last is the padding
+            seen[:TERMS] += blocks[:TERMS]
+            found = passages_of(terms, rows)
+            seen[TERMS:] += len(terms), len(found)
+            packed = [found[lo : lo + PACK].tobytes() for lo in range(0, len(found), PACK)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.int64()), pa.nulls(len(packed), pa.int64()), pa.array(packed, pa.binary())], ["key", "n", "terms"])
     (some,) = np.nonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), pa.nulls(len(some), pa.binary())], ["key", "n", "terms"])
-    yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.nulls(len(ranks), pa.int64()), pa.array([p.tobytes() for p in passages], pa.binary())], ["key", "n", "terms"])
 
 
-def _lowest(ranks: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(ranks, kind="stable")[:FIT_PASSAGES]
-    return ranks[order], passages[order]
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Passages (n, 64) of a batch of rows (terms, weight), padded with TERMS, terms in order, and the weight of each. A row has passages of 64 terms, of which the last may be shorter."""
+    found, weights = [], []
+    for raw, weight in zip(batch.column("terms"), batch.column("weight").to_pylist(), strict=True):
+        own = np.frombuffer(raw.as_py(), np.uint16)
+        found.append(np.r_[own, np.full(-len(own) % _PASSAGE, TERMS, np.uint16)].reshape(-1, _PASSAGE))
+        weights.append(np.full(len(found[-1]), weight))
+        if PACK * len(found) >= _FIT_CHUNK:
+            yield np.sort(np.concatenate(found), axis=1), np.concatenate(weights)
+            found, weights = [], []
+    if found:
+        yield np.sort(np.concatenate(found), axis=1), np.concatenate(weights)
+
+
+def _scaled(idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """What each term adds to a passage's coordinates; the padding, nothing."""
+    return np.concatenate([idf[:, None] * basis, np.zeros((1, basis.shape[1]))]).astype(np.float32)
+
+
+def _random_basis() -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((TERMS, RANK + EXTRA), np.float32)
+
+
+def _counts(idf: np.ndarray, passages: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The passages' weights by the squared lengths of their TF-IDF vectors, which are so brought to length one."""
+    flat = passages.ravel()
+    starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]] | (np.arange(len(flat)) % _PASSAGE == 0))
+    times = np.diff(np.r_[starts, len(flat)])
+    square = np.bincount(starts // _PASSAGE, (times * np.r_[idf, 0.0][flat[starts]]) ** 2, len(passages))
+    return np.divide(weights, square, out=np.zeros(len(passages)), where=square > 0)
+
 
+def _coordinates(table: np.ndarray, passages: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(passages), table.shape[1]), np.float32)
+    for j in range(_PASSAGE):
+        out += table[passages[:, j]]
+    return out
 
-def _gram_product(idf: np.ndarray, basis: np.ndarray | int):
-    """A task's share of (transposed A) A times ``basis``, in slices of rows; A's rows are TF-IDF passages of length one. A number seeds a random basis."""
+
+def _add_product(out: np.ndarray, table: np.ndarray, idf: np.ndarray, passages: np.ndarray, weights: np.ndarray) -> None:
+    """Adds to ``out`` (TERMS, columns) what the passages' Gram matrix times the basis of ``table`` is, but for the factor idf of each term."""
+    ahead = _coordinates(table, passages) * _counts(idf, passages, weights).astype(np.float32)[:, None]
+    flat = passages.ravel()
+    order = np.argsort(flat, kind="stable")[: int((flat < TERMS).sum())]  # the padding comes last
+    for lo in range(0, len(order), 1 << 14):
+        own = order[lo : lo + (1 << 14)]
+        terms = flat[own]
+        starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]])
+        out[terms[starts]] += np.add.reduceat(ahead[own // _PASSAGE], starts, axis=0)
+
+
+def _add_squares(out: np.ndarray, table: np.ndarray, idf: np.ndarray, passages: np.ndarray, weights: np.ndarray) -> None:
+    """Adds to ``out`` (columns, columns) what the passages' Gram matrix is in the basis of ``table``."""
+    own = _coordinates(table, passages).astype(np.float64)
+    out += own.T @ (own * _counts(idf, passages, weights)[:, None])
+
+
+def _gram_product(idf: np.ndarray):
+    """A task's share of (transposed A) A times the random basis, in 64 slices of rows; A's rows are TF-IDF passages of length one."""
 
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        right = np.random.default_rng(basis).standard_normal((TERMS, RANK + EXTRA), np.float32) if isinstance(basis, int) else basis
-        out = np.zeros((TERMS, RANK + EXTRA), np.float32)
+        table, out = _scaled(idf, _random_basis()), np.zeros((TERMS, RANK + EXTRA), np.float32)
         for batch in batches:
-            for raw, times in zip(batch.column("terms"), batch.column("weight").to_pylist(), strict=True):
-                terms = np.frombuffer(raw.as_py(), np.uint16)
-                terms, tf = np.unique(terms[terms < TERMS], return_counts=True)
-                weight = (tf * idf[terms]).astype(np.float32)
-                norm = float(weight @ weight)
-                if norm > 0:
-                    out[terms] += np.outer(weight, weight @ right[terms]) * (times / norm)
-        rows = TERMS // 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([out[i * rows : (i + 1) * rows].tobytes() for i in range(64)], pa.binary()), pa.array([task] * 64, pa.int32())], ["slice", "part", "task"])
+            for passages, weights in _unpacked(batch):
+                _add_product(out, table, idf, passages, weights)
+        out *= idf[:, None]
+        yield _parts(np.split(out, 64), TaskContext.get().partitionId())
 
     return run
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    group = group.sort_by("task")  # always the same sum
-    total = np.sum([np.frombuffer(p.as_py(), np.float32) for p in group.column("part")], axis=0, dtype=np.float32)
-    return pa.table({"slice": group.column("slice").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+def _gram_squares(idf: np.ndarray, shared):
+    """A task's share of (transposed A) A in each of several bases, a slice each."""
 
+    from pyspark import TaskContext
 
-def latent_terms(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Orthonormal latent directions (TERMS, RANK) by randomised subspace iteration over ``passages`` (terms, weight).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        out = np.zeros((len(tables), RANK + EXTRA, RANK + EXTRA))
+        for batch in batches:
+            for passages, weights in _unpacked(batch):
+                for own, table in zip(out, tables, strict=True):
+                    _add_squares(own, table, idf, passages, weights)
+        yield _parts(list(out), TaskContext.get().partitionId())
 
-    Each pass multiplies on the executors and returns a matrix of fixed size.
-    """
-    basis: np.ndarray | int = 7
-    for _ in range(POWERS):
-        parts = passages.mapInArrow(_gram_product(idf, basis), "slice int, part binary, task int").groupBy("slice").applyInArrow(_summed, "slice int, part binary").toArrow().sort_by("slice")
-        product = np.concatenate([np.frombuffer(p.as_py(), np.float32) for p in parts["part"]] or [np.zeros(TERMS * (RANK + EXTRA), np.float32)]).reshape(TERMS, -1)
-        last, (basis, _) = basis, np.linalg.qr(product)
-    if isinstance(last, int):
-        return basis[:, :RANK]
-    values, vectors = np.linalg.eigh(last.T @ product)
-    return (last @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
+    return run
+
+
+def _parts(slices: list[np.ndarray], task: int) -> pa.RecordBatch:
+    n = len(slices)
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([s.astype(np.float32).tobytes() for s in slices], pa.binary()), pa.array([task] * n, pa.int32())], ["slice", "part", "task"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each slice's parts, which come one after the other."""
+    last, total = None, None
+    for batch in batches:
+        for k, part in zip(batch.column("slice").to_pylist(), batch.column("part"), strict=True):
+            own = np.frombuffer(part.as_py(), np.float32)
+            if k == last:
+                total += own
+                continue
+            if total is not None:
+                yield _parts_of(last, total)
+            last, total = k, own.astype(np.float64)
+    if total is not None:
+        yield _parts_of(last, total)
+
+
+def _parts_of(k: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["slice", "part"])
+
+
+def _sum_over(passages: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
+    """What ``run`` makes of all passages, added up on the executors in the tasks' order; of ``shape`` for each slice."""
+    parts = passages.mapInArrow(run, "slice int, part binary, task int").repartition("slice").sortWithinPartitions("slice", "task")
+    found = parts.mapInArrow(_summed, "slice int, part binary").toArrow().sort_by("slice")["part"]
+    return np.concatenate([np.frombuffer(p.as_py(), np.float32).reshape(shape) for p in found] or [np.zeros((0, *shape[1:]), np.float32)])
+
+
+def gram_product(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """The Gram matrix (TERMS, TERMS) of all ``passages`` (terms, weight) times the random basis; its size is fixed."""
+    out = _sum_over(passages, _gram_product(idf), (TERMS // 64, RANK + EXTRA))
+    return out if len(out) else np.zeros((TERMS, RANK + EXTRA), np.float32)
+
+
+def group_terms(passages: DataFrame, idf: np.ndarray, product: np.ndarray, groups: list[np.ndarray]) -> list[np.ndarray]:
+    """For each group's own passages (n, 64) orthonormal latent directions (TERMS, RANK) of these and of ``passages``, whose ``gram_product`` is given. One pass over ``passages`` serves all groups."""
+    first, bases = _scaled(idf, _random_basis()), []
+    for own in groups:
+        more = np.zeros_like(product)
+        _add_product(more, first, idf, own, np.full(len(own), ITEM_WEIGHT))
+        bases.append(np.linalg.qr(product + idf[:, None] * more)[0].astype(np.float32))
+    shared = passages.sparkSession.sparkContext.broadcast([_scaled(idf, basis) for basis in bases])
+    squares = _sum_over(passages, _gram_squares(idf, shared), (1, RANK + EXTRA, RANK + EXTRA)).astype(np.float64)
+    shared.destroy()
+    out = []
+    for k, (own, basis) in enumerate(zip(groups, bases, strict=True)):
+        gram = squares[k] if len(squares) else np.zeros((RANK + EXTRA, RANK + EXTRA))
+        _add_squares(gram, _scaled(idf, basis), idf, own, np.full(len(own), ITEM_WEIGHT))
+        values, vectors = np.linalg.eigh(gram)
+        out.append((basis @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32))
+    return out
+
+
+def latent_terms(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Orthonormal latent directions (TERMS, RANK) of ``passages`` (terms, weight) alone, by a randomised SVD in two passes."""
+    return group_terms(passages, idf, gram_product(passages, idf), [np.zeros((0, _PASSAGE), np.uint16)])[0]
 
 
 def answer_of(text: str) -> str:
@@ -312,27 +423,28 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     seen[counted["key"].to_numpy()] = counted["n"].to_numpy()
     idf = (np.log((seen[TERMS] + 2) / (seen[:TERMS] + 1)) ** 2).astype(np.float32)  # squared: rare words tell passages apart
 
-    # hashes are even, so the lowest FIT_PASSAGES of all lie below this one, or nearly so: what is sorted doesn't grow with the corpus
-    highest = min(2**63 - 1, int(-(2**63) + 2**64 * 1.5 * FIT_PASSAGES / max(1.0, seen[TERMS + 1])))
-    sample = survey.filter("n is null").filter(F.col("key") <= highest).orderBy("key", "terms").limit(FIT_PASSAGES).select("terms", F.lit(1.0).alias("weight"))
-    sample = durable(sample)
-    found = None
+    total = int(seen[TERMS + 1])
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_PASSAGES)
+    passages = survey.filter("n is null").select("terms", F.lit(CORPUS_WEIGHT / max(CORPUS_WEIGHT, total)).alias("weight")).coalesce(tasks)
+    found = product = None
     for first in range(0, groups, GROUPS_A_PASS):
+        parts = [[(r["item_id"], r["text"]) for r in items.filter(group == k).orderBy(F.xxhash64("text")).collect()] for k in range(first, min(groups, first + GROUPS_A_PASS))]  # some GROUP_PASSAGES each
+        parts = [part for part in parts if any(len(_hash_text(text)) for _, text in part)]
+        if not parts:
+            continue
+        if product is None:
+            product = gram_product(passages, idf)
         models = []
-        for k in range(first, min(groups, first + GROUPS_A_PASS)):
-            part = items.filter(group == k).orderBy(F.xxhash64("text"))
-            own = part.select("text").mapInArrow(_item_passages, "terms binary").withColumn("weight", F.lit(ITEM_WEIGHT))
-            table = np.zeros((TERMS + 1, RANK), np.float32)
-            fitted = durable(sample.unionByName(own).repartition(6, "terms").sortWithinPartitions("terms", "weight"))
-            table[:TERMS] = idf[:, None] * latent_terms(fitted, idf)
-            release(fitted)
-            asked = Items.of([(r["item_id"], r["text"]) for r in part.collect()], table)  # some GROUP_PASSAGES
+        for part, directions in zip(parts, group_terms(passages, idf, product, [np.concatenate([item_passages(text) for _, text in part]) for part in parts]), strict=True):
+            table = _scaled(idf, directions)
+            asked = Items.of(part, table)
             if len(asked.vectors):
                 models.append((asked, table))
         if not models:
             continue
         hits = texts.mapInArrow(_search(spark.sparkContext.broadcast(models), least), _FOUND)
         found = hits if found is None else found.unionByName(hits)
+    release(survey)
     return found if found is not None else spark.createDataFrame([], _FOUND)
 
 
@@ -349,13 +461,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COSINE) ->
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.lcs_ratio", "best.answer_ratio", "best.first_word")
 
 
+def item_passages(text: str) -> np.ndarray:
+    """The passages (n, 64) of a benchmark text that are searched for, padded with TERMS, terms in order."""
+    terms = (_hash_text(text) & np.uint64(TERMS - 1)).astype(np.uint16)
+    found = [terms[lo : lo + _PASSAGE] for lo in range(0, max(1, len(terms) - 2 * BLOCK), 2 * BLOCK)]
+    return np.sort([np.r_[own, np.full(_PASSAGE - len(own), TERMS, np.uint16)] for own in found], axis=1)
+
+
 def _item_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The benchmark's passages as rows of terms, of the windows that are searched for."""
+    """The benchmark's passages, a row each."""
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            terms = (_hash_text(text) & np.uint64(TERMS - 1)).astype(np.uint16)
-            out += [terms[lo : lo + 4 * BLOCK].tobytes() for lo in range(0, max(1, len(terms) - 2 * BLOCK), 2 * BLOCK)]
+        out = [own.tobytes() for text in batch.column("text").to_pylist() for own in item_passages(text)]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["terms"])
 
 

@@ -122,6 +122,50 @@ def test_latent_directions_span_the_largest_variance(spark):
     assert ((a @ v) ** 2).sum() >= 0.97 * exact.sum()
 
 
+def test_directions_come_from_all_passages(spark):
+    """More than 8,192 passages, of short texts too: cosines are those of a model that dense algebra makes of every one."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(1200)]
+    odds = [1 / (k + 10) for k in range(1200)]
+    items = [rng.choices(vocabulary, odds, k=16) for _ in range(40)]
+    near = [[rng.choice(vocabulary) if k in (3, 8, 12) else w for k, w in enumerate(item)] for item in items]
+    texts = near + [rng.choices(vocabulary, odds, k=rng.choice((9, 25, 40, 70, 90))) for _ in range(9000)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.cosine for r in lsa.leaks(docs, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect() if r.doc_id == r.item_id}
+
+    number = {w: int(lsa._hash_text(w)[0]) % lsa.TERMS for w in vocabulary}
+    used = sorted(set(number.values()))
+    at = {w: used.index(n) for w, n in number.items()}
+    blocks = [[t[k : k + 16] for k in range(0, len(t), 16)] for t in texts]
+    seen = np.zeros(len(used))
+    for block in (b for own in blocks for b in own):
+        seen[list({at[w] for w in block})] += 1
+    idf = np.log((sum(map(len, blocks)) + 2) / (seen + 1)) ** 2
+    passages = []
+    for own in blocks:
+        n = -(-len(own) // 4)
+        passages += [[w for j, b in enumerate(own) if j * n // len(own) == k for w in b] for k in range(n)]
+    assert sum(map(len, passages)) == sum(map(len, texts)) and len(passages) > 8192
+
+    def matrix(rows):
+        out = np.zeros((len(rows), len(used)))
+        for r, row in enumerate(rows):
+            for w in row:
+                out[r, at[w]] += idf[at[w]]
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    a, b = matrix(passages), matrix(items)
+    gram = min(1, 8192 / len(passages)) * a.T @ a + lsa.ITEM_WEIGHT * b.T @ b
+    start = np.random.default_rng(7).standard_normal((lsa.TERMS, lsa.RANK + lsa.EXTRA), np.float32)[used]
+    q = np.linalg.qr(gram @ start)[0]
+    values, vectors = np.linalg.eigh(q.T @ gram @ q)
+    v = q @ vectors[:, -lsa.RANK :]
+    x, y = matrix(near) @ v, b @ v
+    want = (x * y).sum(axis=1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
+    assert len(got) >= 10 and got.keys() >= {d for d in range(40) if want[d] > lsa.LEAST_COSINE + 0.002}
+    assert max(abs(got[d] - want[d]) for d in got) < 0.002
+
+
 @pytest.mark.parametrize("what", ["docs", "bench", "both"])
 def test_empty_and_odd_rows(spark, what):
     item = "what holds the roof of the old hall up on windy days. The seven oak pillars hold it"
