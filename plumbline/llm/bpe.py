@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm import vec
 from plumbline.shared import durable
 
 #: Characters of a chunk, and of what it shares with the next one.
@@ -263,7 +264,7 @@ def encode_digests(
         if not SURE < shared < size:
             raise ValueError("the overlap is longer than the lookahead and shorter than a chunk")
     # written, as the chunks of long texts are read again while the digests of the others are done
-    rows = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(path, pattern, chunk, overlap, long, far), _CUT))
+    rows = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(vec.lean(_encoded(path, pattern, chunk, overlap, long, far)), _CUT))
     done = rows.filter("chunk is null").select("doc_id", *_NAMES)
     if rows.filter("chunk is not null").limit(1).count() == 0:
         return done

@@ -226,7 +226,7 @@ def _parts_of(k: int, total: np.ndarray) -> pa.RecordBatch:
 
 def _sum_over(passages: DataFrame, run, shape: tuple[int, ...]) -> np.ndarray:
     """What ``run`` makes of all passages, added up on the executors in the tasks' order; of ``shape`` for each slice."""
-    parts = passages.mapInArrow(run, "slice int, part binary, task int").repartition("slice").sortWithinPartitions("slice", "task")
+    parts = passages.mapInArrow(vec.lean(run), "slice int, part binary, task int").repartition("slice").sortWithinPartitions("slice", "task")
     found = parts.mapInArrow(_summed, "slice int, part binary").toArrow().sort_by("slice")["part"]
     return np.concatenate([np.frombuffer(p.as_py(), np.float32).reshape(shape) for p in found] or [np.zeros((0, *shape[1:]), np.float32)])
 
@@ -417,7 +417,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     items = durable(benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct())
     groups = max(1, -(-items.select("text").mapInArrow(_item_passages, "terms binary").count() // GROUP_PASSAGES))
     group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
-    survey = durable(texts.select("text").mapInArrow(_survey, "key long, n long, terms binary"))
+    survey = durable(texts.select("text").mapInArrow(vec.lean(_survey), "key long, n long, terms binary"))
     counted = survey.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # a row for each of TERMS
     seen = np.zeros(TERMS + 2)
     seen[counted["key"].to_numpy()] = counted["n"].to_numpy()
@@ -442,7 +442,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
                 models.append((asked, table))
         if not models:
             continue
-        hits = texts.mapInArrow(_search(spark.sparkContext.broadcast(models), least), _FOUND)
+        hits = texts.mapInArrow(vec.lean(_search(spark.sparkContext.broadcast(models), least)), _FOUND)
         found = hits if found is None else found.unionByName(hits)
     release(survey)
     return found if found is not None else spark.createDataFrame([], _FOUND)

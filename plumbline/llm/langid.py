@@ -141,7 +141,7 @@ def fit(rows: DataFrame) -> Model:
     ranks = labelled.select("declared", "rank").filter(F.coalesce(upto(near), F.lit(False))).distinct().groupBy("declared").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))  # some 2,100 of each
     last = {r["declared"]: r["last"] for r in ranks.select("declared", F.element_at(F.slice("ranks", 1, SAMPLE_ROWS), -1).alias("last")).collect()}
     sample = labelled.filter(F.coalesce(upto(last), F.lit(False))).groupBy("declared", "rank").agg(F.min("text").alias("text"))
-    counted = sample.repartition(8, "rank").select("declared", "text").mapInArrow(_counts, "declared string, code int, n long").groupBy("declared", "code").agg(F.sum("n").alias("n"))
+    counted = sample.repartition(8, "rank").select("declared", "text").mapInArrow(vec.lean(_counts), "declared string, code int, n long").groupBy("declared", "code").agg(F.sum("n").alias("n"))
     tables = counted.groupBy("declared").applyInArrow(_table, "declared string, logs binary").collect()  # 256 KB for each language
     found = {r["declared"]: np.frombuffer(r["logs"], np.float32) for r in tables}
     out = np.zeros((len(found), _CODES + 1), np.float32)
@@ -264,7 +264,7 @@ def identify(rows: DataFrame, model: Model, least: float = LEAST_POSTERIOR, keep
         return rows.select(*keep, none.alias("language"), F.lit(None).cast("double").alias("posterior"), none.alias("text_language"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"))
     passed = [*keep, "declared", *_LEVELS]
     schema = f"{kept}, declared string, suffix string, domain string, host string, n_grams long, logs array<double>, p array<double>"
-    scored = durable(rows.select(*passed, "text").mapInArrow(_likelihoods(model, passed), schema))
+    scored = durable(rows.select(*passed, "text").mapInArrow(vec.lean(_likelihoods(model, passed)), schema))
     sums = [F.sum(F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]
     counts = F.array(*[F.col(f"s{i}") for i in range(k)])
 
@@ -292,7 +292,7 @@ def identify(rows: DataFrame, model: Model, least: float = LEAST_POSTERIOR, keep
     else:
         joined = join_counted(keyed, table, "a", "b", F.xxhash64("n_grams", F.get("logs", F.lit(0))))
     joined = joined.select(*keep, "declared", "n_grams", "logs", "p", *[f"{c}_n" for c in _LEVELS])
-    return joined.mapInArrow(_fused(model.languages, total, declared, least, list(keep)), f"{kept}, {_JUDGED}")
+    return joined.mapInArrow(vec.lean(_fused(model.languages, total, declared, least, list(keep))), f"{kept}, {_JUDGED}")
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_POSTERIOR) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import graph
+from plumbline.llm import graph, vec
 from plumbline.llm.names import drop_rows, join_counted, text_mark
 from plumbline.shared import durable
 
@@ -91,7 +91,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, fp) of each row, with its text's mark and fp as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), text_mark(docs).alias("mark"), "text").mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_mark(docs).alias("mark"), "text").mapInArrow(vec.lean(_fingerprints), "doc_id long, mark long, fp long")
 
 
 def _planes(fps: np.ndarray, lane: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
@@ -257,7 +257,7 @@ def links(distinct: DataFrame, tile: int = TILE, sample: int = SAMPLE) -> DataFr
     rows = distinct.select(F.col("fp").alias("x"), each).select(_bucket(F.col("m"), F.col("x")).alias("g"), "m", "x")
     n = distinct.count()
     if n <= tile:  # no bucket can be larger
-        found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(tile), _LINKS)
+        found = rows.repartition("g").sortWithinPartitions("g").mapInArrow(vec.lean(_linker(tile)), _LINKS)
         return found.select(F.col("x").alias("u"), F.col("y").alias("v"))
     one_in = max(1, n // sample)
     seen = rows.filter(F.pmod(F.xxhash64(F.lit(7), "x"), F.lit(one_in)) == 0).groupBy("g").agg(F.count("*").alias("n"))
@@ -270,7 +270,7 @@ def links(distinct: DataFrame, tile: int = TILE, sample: int = SAMPLE) -> DataFr
         todo = todo.select(_bucket(F.col("m"), F.col("x")).alias("g"), "m", "x")
     out = None
     while True:
-        found = durable(todo.repartition("g").sortWithinPartitions("g").mapInArrow(_linker(tile), _LINKS))
+        found = durable(todo.repartition("g").sortWithinPartitions("g").mapInArrow(vec.lean(_linker(tile)), _LINKS))
         own = found.filter("y is not null").select(F.col("x").alias("u"), F.col("y").alias("v"))
         out = own if out is None else out.unionByName(own)
         more = found.filter("y is null")

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import vec
 from plumbline.llm.names import fresh, join_counted, text_mark
 from plumbline.shared import durable
 
@@ -31,6 +32,8 @@ _CUT = re.compile(rf"[^\n{_MARKS}]*[\n{_MARKS}]+|[^\n{_MARKS}]+")
 #: Letters of scripts that put no blanks between words (Thai, Lao, Burmese, Khmer, kana, Han), and how many count as a word.
 _UNSPACED, UNSPACED_WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"), 2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Units, and texts, in a batch of rows that a worker returns, about.
+OUT_UNITS, OUT_TEXTS = 1 << 15, 1 << 10
 _SPANS = "array<struct<start:int,end:int,n_words:int,first_doc_id:long>>"
 
 
@@ -89,7 +92,7 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if n:
                         meta[-1] |= 1
                 at = end
-            if len(docs) > 200_000:
+            if len(docs) >= OUT_UNITS:
                 yield rows()
                 digests, docs, marks, local, meta, place = [], [], [], [], [], []
         if docs:
@@ -143,11 +146,11 @@ def repeated_spans(docs: DataFrame, least_run: int = RUN_WORDS, least_line: int
     """
     schema = "h long, k int, doc_id long, mark long, local boolean, meta long, place long"
     texts = docs.select(F.col("doc_id").cast("long"), text_mark(docs).alias("mark"), "text").filter("doc_id is not null and text is not null")
-    found = texts.mapInArrow(_unit_rows, schema)
+    found = texts.mapInArrow(vec.lean(_unit_rows), schema)
     firsts = durable(found.groupBy("h", "k").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).filter("n > 1"))
     later = join_counted(found, firsts, "h", "k", F.xxhash64("doc_id", "place")).filter("local or doc_id > first_doc_id")
     runs = later.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("meta", "place", "first_doc_id")).alias("found"))
-    return runs.mapInArrow(_runs(least_run, least_line), f"doc_id long, mark long, spans {_SPANS}").filter(F.size("spans") > 0)
+    return runs.mapInArrow(vec.lean(_runs(least_run, least_line)), f"doc_id long, mark long, spans {_SPANS}").filter(F.size("spans") > 0)
 
 
 def removed_spans(docs: DataFrame, **limits) -> DataFrame:
@@ -157,7 +160,7 @@ def removed_spans(docs: DataFrame, **limits) -> DataFrame:
 
 def _without(spans_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, OUT_TEXTS) for whole in batches for lo in range(0, whole.num_rows, OUT_TEXTS)):
             texts = []
             for text, spans in zip(batch.column("text"), batch.column(spans_name), strict=True):
                 text, spans = text.as_py(), spans.as_py()
@@ -183,7 +186,7 @@ def remove_repeats(docs: DataFrame, **limits) -> DataFrame:
     found = repeated_spans(docs, **limits).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(spans))
     same = (docs["doc_id"] == found[doc]) & (text_mark(docs) == found[mark])
     rows = docs.join(found, same, "left").drop(doc, mark)
-    out = rows.mapInArrow(_without(spans), docs.schema)
+    out = rows.mapInArrow(vec.lean(_without(spans)), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -7,7 +7,9 @@ spends its time in numpy and not on an object for each word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,40 @@ SLAB = 1 << 20
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def _malloc_trim() -> Callable | None:
+    """The C library's call that hands free memory back, where it has one."""
+    try:
+        return getattr(ctypes.CDLL(None), "malloc_trim", None)
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Hands memory that Arrow and numpy have freed back to the system; else a worker, which serves one stage after another, keeps the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if trim := _malloc_trim():
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a task's work on its batches, with freed memory handed back before each next batch and at the end."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        try:
+            yield from run(fed())
+        finally:
+            give_back()
+
+    return runs
+
+
 def _scrambled(n: int) -> np.ndarray:
     """n numbers without a pattern, always the same."""
     with np.errstate(over="ignore"):

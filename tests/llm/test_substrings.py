@@ -1,4 +1,9 @@
+import os
 import random
+import subprocess
+import sys
+
+import pyarrow as pa
 
 from plumbline.llm import names, queries, substrings
 from tests.llm.oracle import compare
@@ -146,3 +151,42 @@ def test_scripts_without_blanks(spark):
         rows = [(0, passage), (1, passage), (2, sentence(9) + passage + sentence(9)), (3, sentence(60))]
         got = sorted(tuple(r) for r in substrings.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
         assert got == [(1, 0, 60, 28, 0), (2, 10, 70, 28, 0)]
+
+
+def test_workers_return_small_batches():
+    """What a worker holds doesn't grow with the rows of a batch of texts."""
+    texts = [" ".join(f"word{i} of text{k}," for i in range(40)) for k in range(6000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(6000), pa.int64()), "mark": pa.array(range(6000), pa.int64()), "text": pa.array(texts)})
+    found = list(substrings._unit_rows(iter([batch])))
+    assert sum(b.num_rows for b in found) == 6000 * 40 and max(b.num_rows for b in found) <= substrings.OUT_UNITS + 40
+    spans = pa.array([[{"start": 0, "end": 2}] if k % 2 else None for k in range(6000)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+    out = list(substrings._without("spans")(iter([batch.append_column("spans", spans)])))
+    assert max(b.num_rows for b in out) <= substrings.OUT_TEXTS
+    assert [t for b in out for t in b.column("text").to_pylist()] == [t[2:] if k % 2 else t for k, t in enumerate(texts)]
+
+
+def test_workers_hand_memory_back():
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from plumbline.llm import vec
+
+def held():
+    return int(re.search(r"Anonymous: +(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def run(batches):
+    for batch in batches:
+        columns = [pa.array(np.arange(1 << 17)) for _ in range(200)]
+        pieces = [np.ones(8000) for _ in range(5000)]
+        last = pieces[-1]
+        del pieces, columns
+        yield batch
+
+before = held()
+for _ in vec.lean(run)(iter([pa.record_batch({"x": [1]})] * 2)):
+    pass
+print(held() - before)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120, check=True)
+    assert float(found.stdout) < 30
