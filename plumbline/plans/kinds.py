@@ -22,6 +22,8 @@ from plumbline.plans.together import together
 PARSED, LEAST_YEAR, FEW_LEVELS = 0.8, 1000, 50
 #: Texts longer than this are no times.
 LONGEST_TIME = 64
+#: Texts of digits alone, which a cast would take for years of more than four digits.
+_WHOLE_NUMBER = r"^\s*[+-]?\d{5,}\s*$"
 #: Texts that are truth values, for columns where these are looked for: fixed values.
 TRUTH = ("true", "false", "1", "0", "yes", "no")
 #: Formats that texts are tried as, in this order: fixed values.
@@ -43,7 +45,7 @@ class ColumnPlan:
 def parse_time(text: Column, fmt: str | None = None) -> Column:
     """A text as a timestamp, by one format or by the first that fits; else null."""
     tried = [F.try_to_timestamp(text, F.lit(f)) for f in ([fmt] if fmt else TIME_FORMATS)]
-    return F.coalesce(*tried, *([] if fmt else [text.try_cast("timestamp")]))
+    return F.coalesce(*tried, *([] if fmt else [F.when(~text.rlike(_WHOLE_NUMBER), text.try_cast("timestamp"))]))
 
 
 def as_text(c: Column, kind: T.DataType) -> Column:
@@ -68,8 +70,8 @@ def _shape(fmt: str) -> str:
 
 
 def _fits(v: Column, fmt: str | None) -> Column:
-    """Whether a text is a time of a format, or of any that a cast knows; only texts that look like one are parsed."""
-    looks = (F.length(v) <= LONGEST_TIME) & (v.rlike(r"\d{4}.*\d|\d.*\d{4}") if fmt is None else v.rlike(_shape(fmt)))
+    """Whether a text is a time of a format, or of any that a cast knows; only texts that look like one are parsed, and a whole number is none to a cast."""
+    looks = (F.length(v) <= LONGEST_TIME) & (v.rlike(r"\d{4}.*\d|\d.*\d{4}") & ~v.rlike(_WHOLE_NUMBER) if fmt is None else v.rlike(_shape(fmt)))
     t = v.try_cast("timestamp") if fmt is None else parse_time(v, fmt)
     return F.coalesce(F.when(looks, t.isNotNull() & (F.year(t) >= LEAST_YEAR)), F.lit(False))
 

@@ -267,6 +267,16 @@ def test_kinds_of_texts_are_of_all_rows(spark):
         plumbline.ComputeOptions(inference="wild")
 
 
+def test_whole_numbers_as_texts_are_no_years(spark):
+    df = spark.range(200).select(
+        F.when(F.col("id") % 4 > 0, (F.col("id") + 12_000).cast("string")).alias("keys_and_gaps"), F.concat(F.lit(" +"), (F.col("id") + 1_000_000).cast("string")).alias("signed"),
+        F.when(F.col("id") % 9 > 0, "20240131").otherwise("12345").alias("days"),
+    )
+    plans = {p.name: p for p in classify(df)}
+    assert {c: p.kind for c, p in plans.items()} == {"keys_and_gaps": "categorical", "signed": "numeric", "days": "datetime"}
+    assert df.select(plans["days"].values.alias("t")).filter("t is null").count() == 23
+
+
 def test_jobs_together_end_before_an_error_is_raised(spark):
     ended = []
     with pytest.raises(ZeroDivisionError):
