@@ -173,9 +173,12 @@ def sorted_gaps(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return _combined(rows.repartitionByRange("c", "v").sortWithinPartitions("c", "v").mapInArrow(_partial_long(list(columns)), _PART))
 
 
-def with_row_index(df: DataFrame, name: str = "row_index", ordered: bool = False) -> DataFrame:
-    """``df`` with the number of each row, from 0, in the order of its source, or, if it is ``ordered``, of its partitions; null if there is no order."""
-    source = "memory" if ordered else _source(df)
+def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """``df`` with the number of each row, from 0, in the order of its source; null if there is no order.
+
+    The source is read once to count and again to number, so sorted rows must be kept (``durable``) first.
+    """
+    source = _source(df)
     if source is None:
         return df.withColumn(name, F.lit(None).cast("long"))
     raw = df.withColumn(name, F.monotonically_increasing_id())

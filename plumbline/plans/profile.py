@@ -29,6 +29,7 @@ from plumbline.options import ComputeOptions
 from plumbline.plans.kinds import ColumnPlan, classify, select_columns
 from plumbline.plans.spread import kept
 from plumbline.plans.together import together
+from plumbline.shared import durable, release
 
 SCHEMA_VERSION = 2
 #: Statistics that are defined for a column without values: fixed values.
@@ -240,7 +241,9 @@ def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool
     plans = classify(df, options, complete)
     of = {k: [p for p in plans if p.kind == k] for k in ("numeric", "categorical", "datetime", "boolean")}
     known_order = bool(options.order_by) or O.has_order(df)
-    indexed = O.with_row_index(whole.orderBy(*options.order_by), "__row_index", ordered=True) if options.order_by else O.with_row_index(df, "__row_index")
+    # sorted once and kept: each job would draw other bounds of the sort's partitions, and rows would change their numbers
+    held = durable(whole.orderBy(*options.order_by).select(*[F.col(f"`{c}`") for c in df.columns])) if options.order_by else None
+    indexed = O.with_row_index(df if held is None else held, "__row_index")
     stats: dict[str, dict[str, Any]] = {}
     source = whole if options.order_by else df
     exact = not options.approximate if options.exact_duplicates is None else options.exact_duplicates
@@ -288,6 +291,8 @@ def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool
     places = missing_by_position(indexed, [c for c in df.columns if lost[c]], rows, options.chunk_size) if known_order else {}
     if places:
         dataset["missing_by_position"] = places
+    if held is not None:
+        release(held)
     return {"schema_version": SCHEMA_VERSION, "dataset": dataset, "columns": {c: published(stats[c]) for c in df.columns}}
 
 

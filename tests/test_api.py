@@ -277,6 +277,14 @@ def test_whole_numbers_as_texts_are_no_years(spark):
     assert df.select(plans["days"].values.alias("t")).filter("t is null").count() == 23
 
 
+def test_positions_of_rows_that_are_sorted_over_several_partitions(spark):
+    df = spark.range(0, 500_000, numPartitions=8).select(((F.col("id") * 7919) % 500_000).alias("k"))
+    df = df.select("k", F.when(F.col("k") % 4_000 >= 900, F.col("k") + 0.5).alias("v"))
+    summary = P.payload(df, plumbline.ComputeOptions(compute_correlations=False, order_by=["k"], chunk_size=1_000))
+    assert summary["dataset"]["missing_by_position"]["v"]["chunks"] == [(a, a + 999, 900 if a % 4_000 == 0 else 0) for a in range(0, 500_000, 1_000)]
+    assert summary["columns"]["v"]["max_items"] == [(i, i + 0.5) for i in range(499_999, 499_994, -1)]
+
+
 def test_jobs_together_end_before_an_error_is_raised(spark):
     ended = []
     with pytest.raises(ZeroDivisionError):
