@@ -213,21 +213,18 @@ def boolean_stats(df: DataFrame, plans: list[ColumnPlan]) -> dict[str, dict[str,
     return {p.name: {"type": "boolean", "dtype": p.dtype, **{k: rows[p.name][k] for k in keys}} for p in plans}
 
 
-#: Chunks of rows above which missing values aren't told by position.
-MOST_CHUNKS = 1000
-
-
-def missing_by_position(indexed: DataFrame, names: list[str], rows: int, chunk: int | None) -> dict[str, dict[str, Any]]:
-    """Of each column with missing values, (first row, last row, missing) of each chunk of rows, and whether they stand in a gap; nothing above MOST_CHUNKS chunks."""
-    if not names or not chunk or math.ceil(rows / chunk) > MOST_CHUNKS:
+def missing_by_position(indexed: DataFrame, names: list[str], chunk: int | None) -> dict[str, dict[str, Any]]:
+    """Of each column with missing values, (first row, last row, missing) of each chunk of rows, however many there are, and whether they stand in a gap."""
+    if not names or not chunk:
         return {}
-    by_chunk = indexed.sparkSession.createDataFrame(D.missing_by_chunk(indexed, F.col("__row_index"), chunk, names).collect(), "column_name string, start_row long, end_row long, missing long")
+    by_chunk = durable(D.missing_by_chunk(indexed, F.col("__row_index"), chunk, names))
     found = _by_column(D.missing_concentration(by_chunk))
-    places = _lists(by_chunk, "start_row")
-    return {
-        c: {"chunks": [(r["start_row"], r["end_row"], r["missing"]) for r in places[c]], "finding": found[c]["finding"], "rows_share": found[c]["rows_share"], "missing_share": found[c]["missing_share"]}
-        for c in names if c in found
-    }
+    places = defaultdict(list)
+    for batch in by_chunk.toArrow().sort_by("start_row").to_batches():  # a row for each chunk and column
+        for c, *place in zip(*[batch[k].to_pylist() for k in ("column_name", "start_row", "end_row", "missing")], strict=True):
+            places[c].append(tuple(place))
+    release(by_chunk)
+    return {c: {"chunks": places[c], "finding": found[c]["finding"], "rows_share": found[c]["rows_share"], "missing_share": found[c]["missing_share"]} for c in names if c in found}
 
 
 def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool = True, tell: Callable[[str], None] | None = None, keep: Callable[[int, dict], None] | None = None) -> dict[str, Any]:
@@ -288,7 +285,7 @@ def payload(df: DataFrame, options: ComputeOptions | None = None, complete: bool
         "top_missing": [{"column": c, "pct": p, "count": n} for c, p, n in sorted(shares, key=lambda s: -s[1])[:5]],
     }
     tell("positions")
-    places = missing_by_position(indexed, [c for c in df.columns if lost[c]], rows, options.chunk_size) if known_order else {}
+    places = missing_by_position(indexed, [c for c in df.columns if lost[c]], options.chunk_size) if known_order else {}
     if places:
         dataset["missing_by_position"] = places
     if held is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from html import escape
 from typing import Any
@@ -47,6 +48,13 @@ def _inline(text: str) -> str:
     return text
 
 
+def strip(chunks: list[tuple[int, int, int]], most: int = 360) -> str:
+    """Bars of (first row, last row, missing); neighbours are put together where there would be more bars than points of the drawing."""
+    k = math.ceil(len(chunks) / most) or 1
+    parts = [chunks[i : i + k] for i in range(0, len(chunks), k)]
+    return bars([sum(m for *_, m in p) for p in parts], [f"rows {p[0][0]:,} to {p[-1][1]:,}" for p in parts])
+
+
 def bars(values: list[float], labels: list[str] | None = None, width: int = 360, height: int = 90, below: list[str] | None = None) -> str:
     """Vertical bars with their labels as titles, round numbers at the left, and up to one text ``below`` for each bar."""
     if not values:
@@ -154,7 +162,7 @@ def page(summary: dict[str, Any], flags: list[dict[str, Any]], rows: list[dict[s
     if rows:
         head = "".join(f"<th>{escape(str(c))}</th>" for c in rows[0])
         sample = f"<section><h2>Sample</h2><table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{escape(str(v))[:80]}</td>" for v in r.values()) + "</tr>" for r in rows) + "</table></section>"
-    strips = "".join(f"<tr><th>{escape(c)}</th><td>{bars([m for _, _, m in p['chunks']], [f'rows {a:,} to {b:,}' for a, b, _ in p['chunks']])}</td><td>{escape(p['finding'])}</td></tr>" for c, p in d.get("missing_by_position", {}).items())
+    strips = "".join(f"<tr><th>{escape(c)}</th><td>{strip(p['chunks'])}</td><td>{escape(p['finding'])}</td></tr>" for c, p in d.get("missing_by_position", {}).items())
     places = f"<section><h2>Missing values by position</h2><table>{strips}</table></section>" if strips else ""
     pairs = {tuple(sorted((c, o))): r for c, s in summary["columns"].items() for o, r in s.get("corr_top", [])}
     strong = [(f"{a} and {b}", f"{r:.3f}") for (a, b), r in sorted(pairs.items(), key=lambda x: (-abs(x[1]), x[0]))[:100]]

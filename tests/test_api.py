@@ -285,6 +285,16 @@ def test_positions_of_rows_that_are_sorted_over_several_partitions(spark):
     assert summary["columns"]["v"]["max_items"] == [(i, i + 0.5) for i in range(499_999, 499_994, -1)]
 
 
+def test_missing_by_position_has_all_chunks(spark):
+    df = spark.range(0, 5_000, numPartitions=3).select("id", F.when(F.col("id") % 2_000 >= 450, F.col("id") + 0.5).alias("v"))
+    places = P.missing_by_position(df.withColumn("__row_index", F.col("id")), ["v"], 2)
+    assert places["v"]["chunks"] == [(a, a + 1, 2 if a % 2_000 < 450 else 0) for a in range(0, 5_000, 2)] and places["v"]["finding"] == "gap"
+    summary = P.payload(df.select("v"), plumbline.ComputeOptions(compute_correlations=False, chunk_size=4))
+    assert len(summary["dataset"]["missing_by_position"]["v"]["chunks"]) == 1_250
+    drawn = html.strip(places["v"]["chunks"])
+    assert drawn.count("<rect") <= 360 and "rows 0 to 13: 14<" in drawn and "rows 14 to 27: 14<" in drawn
+
+
 def test_jobs_together_end_before_an_error_is_raised(spark):
     ended = []
     with pytest.raises(ZeroDivisionError):
