@@ -170,16 +170,49 @@ def histogram(df: DataFrame, columns: Named, limits: dict[str, tuple[float | Non
     return rows.groupBy("h").agg(F.count("*").alias("n")).select("h.*", "n")
 
 
+_ENDS = pa.schema([("c", pa.int32()), ("side", pa.string()), ("value", pa.float64()), ("row_index", pa.int64())])
+
+
+def _ends(columns: int, k: int):
+    """The k smallest and largest values of each column in a task's rows (row index, then the columns), of equal ones those of the earliest rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # values, negated for the largest, and row indexes, in order
+        for batch in batches:
+            index = batch.column(0).fill_null(_NO_ROW).to_numpy(zero_copy_only=False)
+            for c in range(columns):
+                v = batch.column(c + 1).to_numpy(zero_copy_only=False)
+                for sign in (1, -1):
+                    x, rows = sign * v, index
+                    best, at = kept_.get((c, sign), (np.zeros(0), np.zeros(0, np.int64)))
+                    near = (x < best[-1]) | ((x == best[-1]) & (rows < at[-1])) if len(best) == k else ~np.isnan(x)
+                    if near.any():
+                        x, rows = np.concatenate([best, x[near]]), np.concatenate([at, rows[near]])
+                        first = np.lexsort((rows, x))[:k]
+                        kept_[c, sign] = x[first], rows[first]
+        for (c, sign), (x, rows) in kept_.items():
+            n = len(x)
+            row_index = pa.array(rows, mask=rows == _NO_ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c, np.int32)), pa.array(["min" if sign > 0 else "max"] * n), pa.array(sign * x + 0.0), row_index], schema=_ENDS)
+
+    return run
+
+
+#: Stands for the index of a row without a place.
+_NO_ROW = -(1 << 63)
+
+
 def extremes(df: DataFrame, columns: Named, index: Column, k: int = EXTREMES) -> DataFrame:
-    """(column_name, side, rank, value, row_index) of the k smallest and largest values; of equal values the earlier row comes first."""
-    inputs = spread(df.select(index.alias("row_index"), *[N.finite(x).alias(f"v{i}") for i, x in enumerate(columns.values())]))
-    parts = [F.struct(F.lit(name).alias("column_name"), F.col(f"v{i}").alias("value")) for i, name in enumerate(columns)]
-    rows = inputs.select("row_index", F.explode(F.array(*parts)).alias("v")).select("v.*", "row_index").filter("value is not null")
-    sides = []
-    for side, order in (("min", F.asc("value")), ("max", F.desc("value"))):
-        w = Window.partitionBy("column_name").orderBy(order, F.asc("row_index"))
-        sides.append(rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("column_name", F.lit(side).alias("side"), "rank", "value", "row_index"))
-    return sides[0].unionByName(sides[1])
+    """(column_name, side, rank, value, row_index) of the k smallest and largest values; of equal values the earlier row comes first.
+
+    Each task keeps its own, in one scan for all columns and both sides; only these are ranked.
+    """
+    inputs = spread(df.select(index.cast("long").alias("row_index"), *[N.finite(x).cast("double").alias(f"v{i}") for i, x in enumerate(columns.values())]))
+    found = inputs.mapInArrow(_ends(len(columns), k), "c int, side string, value double, row_index long")
+    sign = F.when(F.col("side") == "min", 1.0).otherwise(-1.0)
+    w = Window.partitionBy("c", "side").orderBy(sign * F.col("value"), F.asc("row_index"))  # k rows for each task
+    names = F.array(*[F.lit(name) for name in columns]).cast("array<string>")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.get(names, F.col("c")).alias("column_name"), "side", "rank", "value", "row_index")
 
 
 def top_values_tracked(distinct: int, k: int) -> bool:

@@ -295,6 +295,19 @@ def test_missing_by_position_has_all_chunks(spark):
     assert drawn.count("<rect") <= 360 and "rows 0 to 13: 14<" in drawn and "rows 14 to 27: 14<" in drawn
 
 
+def test_extremes_are_kept_by_tasks_before_they_are_ranked(spark):
+    rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else float("-inf") if i % 13 == 0 else (i * 37 % 50) / 4 - 3, None) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "i long, v double, none double").repartition(5)
+    found = numeric.extremes(df, {"v": F.col("v"), "none": F.col("none")}, F.col("i"))
+    finite = [(v, i) for i, v, _ in rows if v is not None and math.isfinite(v)]
+    want = {("v", side, k + 1, v, i) for side, sign in (("min", 1), ("max", -1)) for k, (v, i) in enumerate(sorted(finite, key=lambda r: (sign * r[0], r[1]))[:5])}
+    assert {tuple(r) for r in found.collect()} == want
+    unplaced = numeric.extremes(df, {"v": F.col("v")}, F.lit(None).cast("long")).collect()
+    assert sorted((r.side, r.rank, r.value) for r in unplaced) == sorted((side, k, v) for _, side, k, v, _ in want) and {r.row_index for r in unplaced} == {None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and plan.index("Window ") < plan.index("MapInArrow") and "Generate" not in plan
+
+
 def test_jobs_together_end_before_an_error_is_raised(spark):
     ended = []
     with pytest.raises(ZeroDivisionError):
