@@ -19,6 +19,7 @@ from plumbline.plans.together import together
 from plumbline.report import format, html
 from plumbline.report.glossary import MEANING
 from plumbline.sources import readers, sinks
+from plumbline.suite import sources
 
 FAST = {"correlations": False}
 
@@ -308,6 +309,16 @@ def test_extremes_are_kept_by_tasks_before_they_are_ranked(spark):
     assert plan.count("Window ") == 1 and plan.index("Window ") < plan.index("MapInArrow") and "Generate" not in plan
 
 
+def test_ordered_files_are_written_by_all_tasks_of_the_sort(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = sources.src_order(spark, "/root/testdata/sf0.01")
+        assert len(df.inputFiles()) > 4
+        assert df.filter("o_orderkey <> row_index").count() == 0 and df.agg(F.count("row_index"), F.max("row_index")).first() == (15_000, 14_999)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_jobs_together_end_before_an_error_is_raised(spark):
     ended = []
     with pytest.raises(ZeroDivisionError):
